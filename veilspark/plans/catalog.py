@@ -1,0 +1,11 @@
+"""All registered queries and the SQL that reproduces them."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
