@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, bpe
+from . import base, bpe, secrets
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +14,9 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op7_byte_bpe": op7_byte_bpe}
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(base.table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+QUERIES = {"op7_byte_bpe": op7_byte_bpe, "op8_secret_scan": op8_secret_scan}
 ORACLES: dict[str, str] = {}
