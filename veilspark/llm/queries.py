@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, bpe, secrets
+from . import base, bpe, decontam, secrets
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,5 +18,9 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(base.table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES = {"op7_byte_bpe": op7_byte_bpe, "op8_secret_scan": op8_secret_scan}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op7_byte_bpe": op7_byte_bpe, "op8_secret_scan": op8_secret_scan, "op9_decontamination": op9_decontamination}
 ORACLES: dict[str, str] = {}
