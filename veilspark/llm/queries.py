@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, bpe, decontam, secrets
+from . import base, bpe, decontam, flac, secrets
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,5 +22,14 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op7_byte_bpe": op7_byte_bpe, "op8_secret_scan": op8_secret_scan, "op9_decontamination": op9_decontamination}
+def op4_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.round_trip(base.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {
+    "op4_flac_media": op4_flac_media,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_decontamination": op9_decontamination,
+}
 ORACLES: dict[str, str] = {}
