@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, bpe, decontam, flac, secrets
+from . import base, bpe, decontam, flac, secrets, simhash
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +26,15 @@ def op4_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.round_trip(base.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(base.table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_flac_media": op4_flac_media,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_secret_scan": op8_secret_scan,
     "op9_decontamination": op9_decontamination,
+    "op10_simhash_near_dup": op10_simhash_near_dup,
 }
 ORACLES: dict[str, str] = {}
