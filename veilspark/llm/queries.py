@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, bpe, crf, decontam, flac, secrets, simhash
+from . import base, bpe, crf, decontam, flac, secrets, simhash, suffixes
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,11 +30,16 @@ def op10_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(base.table(spark, sf_dir, "documents"))
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(base.table(spark, sf_dir, "documents"))
+
+
 def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.report(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "labels"))
 
 
 QUERIES = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op4_flac_media": op4_flac_media,
     "op6_quality_crf": op6_quality_crf,
     "op7_byte_bpe": op7_byte_bpe,
