@@ -199,7 +199,7 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not rejected, with their own columns."""
+def accepted(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None) -> DataFrame:
+    """The documents that are not rejected, with their own columns. ``training``: where the labelled texts are, if elsewhere."""
     inner = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col("text"))
-    return score(inner, fit(docs, labels), out="quality_score").where(F.col("quality_score") >= THRESHOLD).select("row.*")
+    return score(inner, fit(docs if training is None else training, labels), out="quality_score").where(F.col("quality_score") >= THRESHOLD).select("row.*")
