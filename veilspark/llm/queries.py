@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, bpe, crf, decontam, flac, secrets, simhash, suffixes
+from . import base, bpe, chat, crf, decontam, flac, secrets, simhash, suffixes, tokencount
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,17 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "benchmark"))
 
 
+def op2_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(base.table(spark, sf_dir, "conversations"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = base.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.round_trip(base.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -40,6 +51,8 @@ def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_chat_perspectives": op2_chat_perspectives,
+    "op3_token_counts": op3_token_counts,
     "op4_flac_media": op4_flac_media,
     "op6_quality_crf": op6_quality_crf,
     "op7_byte_bpe": op7_byte_bpe,
@@ -47,4 +60,4 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_simhash_near_dup": op10_simhash_near_dup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_chat_perspectives": chat.SQL}
