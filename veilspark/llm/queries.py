@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, bpe, chat, crf, decontam, flac, secrets, simhash, suffixes, tokencount
+from . import base, bpe, chat, crf, decontam, flac, paragraphs, secrets, simhash, suffixes, tokencount
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.report(base.table(spark, sf_dir, "documents"))
 
 
+def op5_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.report(base.table(spark, sf_dir, "documents"))
+
+
 def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.report(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "labels"))
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op2_chat_perspectives": op2_chat_perspectives,
     "op3_token_counts": op3_token_counts,
     "op4_flac_media": op4_flac_media,
+    "op5_paragraph_minhash": op5_paragraph_minhash,
     "op6_quality_crf": op6_quality_crf,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_secret_scan": op8_secret_scan,
