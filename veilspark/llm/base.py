@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of text that one step of a Python operator works on.
 BATCH_ROWS = 1024
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,28 +52,19 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BA
                 start, held = i, 0
             held += size
         yield batch.slice(start)
+    give_back()
 
 
-def sha256(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
-
-
-def map_texts(df: DataFrame, one: Callable[[bytes], tuple], schema: str, text: str = "text") -> DataFrame:
-    """Row-wise operator over whole texts as UTF-8 (null as empty); other columns of ``df`` go along first."""
-    keep = [f.name for f in df.schema if f.name != text]
+def give_back() -> None:
+    """Returns memory that a task has freed to the system: workers are used again by later tasks of other operators."""
+    import ctypes
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
-            rows = [one(t.encode() if t is not None else b"") for t in batch.column(text).to_pylist()]
-            made = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(c) for c in made], names=keep + names)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
-    names = [x.strip().split()[0] for x in schema.split(",")]
-    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != text] + [schema])
-    small_batches(df.sparkSession)
-    return df.mapInArrow(run, out)
 
-
-def text_key(text: Column) -> Column:
-    """Null-safe fingerprint of a text."""
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+def sha256(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()

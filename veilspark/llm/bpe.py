@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from .base import sha256, slices, small_batches
 
 #: Pre-tokens whose ids a worker remembers before it starts afresh.
-MEMORY = 300_000
+MEMORY = 100_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -141,21 +141,27 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     return df.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + [f"`{out}` binary"]))
 
 
-def digests(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """Encodes each text, decodes its ids, and returns sizes and digests of both beside the other columns."""
-    made = ["n_tokens", "ids_sha256", "decoded_sha256"]
-    keep = [f for f in df.schema if f.name not in (text, *made)]
+def digests(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str | None = None) -> DataFrame:
+    """Encodes each text, decodes its ids, and returns sizes and digests of both beside the other columns.
 
-    def one(own: Codec, value: str | None) -> tuple[int, str, str]:
-        words = own.encode_words(value or "")
-        ids = [i for word in words for i in word]
-        return len(ids), sha256(" ".join(map(str, ids)).encode()), sha256(own.decode(ids))
+    With a name in ``ids``, the ids themselves come too.
+    """
+    made = ["n_tokens", "ids_sha256", "decoded_sha256", *([ids] if ids else [])]
+    keep = [f for f in df.schema if f.name not in (text, *made)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in slices(batches, text):
-            n, a, b = zip(*[one(own, t) for t in batch.column(text).to_pylist()], strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in keep] + [pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=[f.name for f in keep] + made)
+            n, a, b, c = [], [], [], []
+            for t in batch.column(text).to_pylist():
+                found = own.encode(t or "")
+                n.append(len(found))
+                a.append(sha256(" ".join(map(str, found)).encode()))
+                b.append(sha256(own.decode(found)))
+                if ids:
+                    c.append(found)
+            columns = [pa.array(n, pa.int64()), pa.array(a), pa.array(b), *([pa.array(c, pa.list_(pa.int32()))] if ids else [])]
+            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in keep] + columns, names=[f.name for f in keep] + made)
 
     small_batches(df.sparkSession)
-    return df.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["n_tokens long, ids_sha256 string, decoded_sha256 string"]))
+    return df.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["n_tokens long, ids_sha256 string, decoded_sha256 string", *([f"`{ids}` array<int>"] if ids else [])]))
