@@ -1 +1 @@
-
+"""Column functions, and their registration for SQL."""

@@ -95,7 +95,7 @@ def _ready(df: DataFrame, text: Column) -> DataFrame:
 
 def candidates(text: Column, rules=RULES, low: Column | None = None, digit: Column | None = None) -> Column:
     """Spans of all rules, by rule and then by place; they may overlap."""
-    return F.concat(*[spans.by_rule(text, r, low, digit) for r in rules])
+    return F.concat(spans.none(), *[spans.by_rule(text, r, low, digit) for r in rules])
 
 
 def alias(entity: Column, aliases: dict[str, str]) -> Column:
