@@ -98,6 +98,29 @@ def candidates(text: Column, rules=RULES, low: Column | None = None, digit: Colu
     return F.concat(spans.none(), *[spans.by_rule(text, r, low, digit) for r in rules])
 
 
+def _candidates_of(name: str, rules) -> Column:
+    """The expression for a column by name; it is built once per session, since that takes thousands of calls to the JVM."""
+    from pyspark import SparkContext
+
+    key = (id(SparkContext._active_spark_context), name, tuple(rules))
+    if key not in _built:
+        if len(_built) > 16:
+            _built.clear()
+        _built[key] = candidates(F.col(name), rules, F.col("_low"), F.col("_digit"))
+    return _built[key]
+
+
+_built: dict[tuple, Column] = {}
+
+
+def _settled(c: Column) -> Column:
+    """The same value behind an expression that the optimizer neither copies nor pushes filters through.
+
+    Tiers use their text many times over; inlined into each other they would grow without bounds.
+    """
+    return F.when(F.rand(0) >= 0, c)
+
+
 def alias(entity: Column, aliases: dict[str, str]) -> Column:
     pairs = [x for k, v in aliases.items() for x in (F.lit(k), F.lit(v))]
     return F.try_element_at(F.create_map(*pairs), entity) if pairs else F.lit(None).cast("string")
@@ -107,7 +130,7 @@ def scan(df: DataFrame, text: str = "text", rules=RULES, aliases: dict[str, str]
     """Adds all detections of a text, with the plain SHA-256 of each value and its place in bytes."""
     checked = [r.ordinal for r in rules if r.check]
     t = F.col(text)
-    found = _ready(df, t).withColumn("_spans", candidates(t, rules, F.col("_low"), F.col("_digit"))).drop("_low", "_digit")
+    found = _ready(df, t).withColumn("_spans", _candidates_of(text, rules)).drop("_low", "_digit")
     one = lambda s: F.struct(
         s["entity"].alias("entity"), alias(s["entity"], ALIASES if aliases is None else aliases).alias("canonical_type"), s["value"].alias("value"), F.sha2(s["value"], 256).alias("value_hash"),
         F.lit(1.0).alias("confidence"), F.when(s["rule"].isin(*checked), F.array(F.lit("regex"), F.lit("checksum"))).otherwise(F.array(F.lit("regex"))).alias("method"),
@@ -119,7 +142,7 @@ def scan(df: DataFrame, text: str = "text", rules=RULES, aliases: dict[str, str]
 def winners(df: DataFrame, text: str = "text", rules=RULES, out: str = "spans") -> DataFrame:
     """Adds the spans that are left after overlaps are resolved and tokens are guarded."""
     t = F.col(text)
-    return _ready(df, t).withColumn("_all", candidates(t, rules, F.col("_low"), F.col("_digit"))).drop("_low", "_digit").withColumn(out, spans.resolve(F.when(F.size("_all") > 0, spans.apart(_strict(F.col("_all")), spans.tokens(t))).otherwise(F.col("_all")))).drop("_all")
+    return _ready(df, t).withColumn("_all", _candidates_of(text, rules)).drop("_low", "_digit").withColumn(out, spans.resolve(F.when(F.size("_all") > 0, spans.apart(_strict(F.col("_all")), spans.tokens(t))).otherwise(F.col("_all")))).drop("_all")
 
 
 def _strict(found: Column) -> Column:
@@ -337,4 +360,4 @@ def redact(df: DataFrame, cfg: Config, text: str = "text", out: str = "redacted"
     if cfg.structural:
         df = structural_tier(df, cfg)
     short = (F.octet_length(F.coalesce(text, F.lit(""))) < 3) | (F.octet_length(F.btrim(F.coalesce(text, F.lit("")))) < 3)
-    return df.withColumns({out: F.when(F.col(text).isNull() | short, F.col(text)).otherwise(F.col("_t")), hits: F.when(short, F.array().cast(f"array<{HIT}>")).otherwise(F.col("_h"))}).drop("_t", "_h", "_low", "_digit")
+    return df.withColumns({out: F.when(F.col(text).isNull() | short, F.col(text)).otherwise(_settled(F.col("_t"))), hits: F.when(short, F.array().cast(f"array<{HIT}>")).otherwise(F.col("_h"))}).drop("_t", "_h", "_low", "_digit")

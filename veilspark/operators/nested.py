@@ -120,9 +120,9 @@ def redact(df: DataFrame, text: str, inner: Callable[[DataFrame], DataFrame], ou
     values = df.select("_k", F.col(text).alias("_v")).where("_v IS NOT NULL").dropDuplicates(["_k"])
     parts = values.select("_k", F.explode(F.array_distinct(leaves("_v"))).alias("text"))
     done = inner(parts.select("text").distinct()).select("text", "redacted")
-    maps = parts.join(done, "text").where(~F.col("text").eqNullSafe(F.col("redacted"))).groupBy("_k").agg(F.collect_list(F.struct("text", "redacted")).alias("_p"))
-    pairs = F.col("_p")
-    return df.join(maps, "_k", "left").withColumn(out, F.when(pairs.isNull(), F.col(text)).otherwise(rebuilt(text, F.transform(pairs, lambda p: p["text"]), F.transform(pairs, lambda p: p["redacted"])))).drop("_k", "_p")
+    maps = parts.join(done, "text").groupBy("_k").agg(F.collect_list(F.struct("text", "redacted")).alias("_p"))
+    pairs = F.filter("_p", lambda p: ~p["text"].eqNullSafe(p["redacted"]))
+    return df.join(maps, "_k", "left").withColumn(out, F.when(F.coalesce(F.size(pairs), F.lit(0)) <= 0, F.col(text)).otherwise(rebuilt(text, F.transform(pairs, lambda p: p["text"]), F.transform(pairs, lambda p: p["redacted"])))).drop("_k", "_p")
 
 
 def strip_html(c: Column) -> Column:

@@ -445,7 +445,7 @@ def _chain(spark, d) -> DataFrame:
     from pyspark.sql import Window
 
     e = _t(spark, d, "events")
-    w = Window.partitionBy("user_id").orderBy("event_id")
+    w = Window.partitionBy("user_id").orderBy("seq")
     base = F.concat_ws("|", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.col("user_id").cast("string"), "event_type")
     rows = e.select(F.col("event_id").alias("seq"), "user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("user_id").cast("string").alias("actor"), F.col("event_type").alias("action"), F.lit("").alias("resource"), F.lit("ok").alias("status"), F.lit("").alias("details"), base.alias("b"))
     # two entries of a chain are enough to show a link: odd places name the genesis, even ones their predecessor
