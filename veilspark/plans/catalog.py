@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import prepare
 from ..functions import checksums, spans
 from ..functions.dialect import java
 from ..functions.rules import RULES
@@ -29,7 +30,12 @@ EMAIL = next(r for r in RULES if r.entity == "EMAIL").pattern
 
 def query(sql: str | None = None):
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            prepare(spark)
+            return f(spark, d)
+
+        QUERIES[f.__name__] = run
         if sql is not None:
             SQL[f.__name__] = sql
         return f
