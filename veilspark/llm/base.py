@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from veilspark import prepare
+
 #: Rows and bytes of text that one step of a Python operator works on.
 BATCH_ROWS = 1024
 BATCH_BYTES = 1 << 20
@@ -34,7 +36,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches small, since single texts may be very long."""
+    """Keep Arrow batches small, since single texts may be very long; let workers find the package."""
+    prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -233,7 +233,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame
             e = np.array(forest.edges)
             yield pa.RecordBatch.from_arrays([pa.array(value[e[:, 0]].view(np.int64)), pa.array(value[e[:, 1]].view(np.int64))], names=["u", "v"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    small_batches(spark, 10_000)
     return dealt.mapInArrow(run, "u long, v long")
 
 
