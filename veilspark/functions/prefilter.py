@@ -34,7 +34,7 @@ class Gate:
 
 def lowered(text: Column) -> Column:
     """Lower case as patterns fold it: the long s is an s."""
-    return F.translate(F.lower(text), "ſ", "s")
+    return F.replace(F.lower(text), F.lit("ſ"), F.lit("s"))
 
 
 def _good(words: frozenset[str]) -> int:

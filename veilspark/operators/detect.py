@@ -118,7 +118,7 @@ def _settled(c: Column) -> Column:
 
     Tiers use their text many times over; inlined into each other they would grow without bounds.
     """
-    return F.when(F.rand(0) >= 0, c)
+    return F.when(F.spark_partition_id() >= 0, c)
 
 
 def alias(entity: Column, aliases: dict[str, str]) -> Column:
@@ -136,13 +136,13 @@ def scan(df: DataFrame, text: str = "text", rules=RULES, aliases: dict[str, str]
         F.lit(1.0).alias("confidence"), F.when(s["rule"].isin(*checked), F.array(F.lit("regex"), F.lit("checksum"))).otherwise(F.array(F.lit("regex"))).alias("method"),
         spans.byte_range(t, s).alias("location"), s["start"].alias("start"), s["end"].alias("end"),
     )
-    return found.withColumn(out, F.transform("_spans", one)).drop("_spans")
+    return found.withColumn(out, _settled(F.transform("_spans", one))).drop("_spans")
 
 
 def winners(df: DataFrame, text: str = "text", rules=RULES, out: str = "spans") -> DataFrame:
     """Adds the spans that are left after overlaps are resolved and tokens are guarded."""
     t = F.col(text)
-    return _ready(df, t).withColumn("_all", _candidates_of(text, rules)).drop("_low", "_digit").withColumn(out, spans.resolve(F.when(F.size("_all") > 0, spans.apart(_strict(F.col("_all")), spans.tokens(t))).otherwise(F.col("_all")))).drop("_all")
+    return _ready(df, t).withColumn("_all", _candidates_of(text, rules)).drop("_low", "_digit").withColumn(out, _settled(spans.resolve(F.when(F.size("_all") > 0, spans.apart(_strict(F.col("_all")), spans.tokens(t))).otherwise(F.col("_all"))))).drop("_all")
 
 
 def _strict(found: Column) -> Column:
