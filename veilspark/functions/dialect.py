@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 _BOUNDARY = "(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
 _SPACE = r"\t\n\f\r "
 
@@ -111,8 +114,11 @@ def split_group(pattern: str, group: int) -> str:
     return f"{flags}({''.join(before)})({''.join(rest)}"
 
 
-def quoted(text):
-    """A column's text as a literal for a case-insensitive pattern."""
-    from pyspark.sql import functions as F
+def literal(text: Column) -> Column:
+    """A column's text quoted for a pattern."""
+    return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
 
-    return F.concat(F.lit(r"(?iu)\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+def quoted(text: Column) -> Column:
+    """The same as a pattern by itself, in either case."""
+    return F.concat(F.lit("(?iu)"), literal(text))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import checksums, spans
-from ..functions.dialect import java, quoted
+from ..functions.dialect import java, literal, quoted
 from ..functions.prefilter import lowered
 from ..functions.rules import RULES, Rule
 from ..functions.tokens import Keys, hmac_sha256, mint
@@ -259,12 +259,16 @@ def address_tier(df: DataFrame, cfg: Config) -> DataFrame:
 
 
 def greeting_tier(df: DataFrame, cfg: Config) -> DataFrame:
-    """Names after a greeting, an introduction or a question, then wherever else they stand."""
+    """Names after a greeting, an introduction or a question, and wherever else they stand; of overlapping ones the leftmost."""
     t = F.col("_t")
     df = _ready(df, t)
     found = F.concat(*[spans.gated(spans.find(t, p, 1, "PERSON", i), p, F.col("_low"), F.col("_digit")) for i, p in enumerate(NAMES)])
-    wanted = F.transform(F.filter(found, lambda s: ~F.startswith(s["value"], F.lit("["))), lambda s: F.struct(F.lit("PERSON").alias("entity"), s["value"].alias("term")))
-    return _literals(df, wanted, cfg.keys, "greeting")
+    names = F.array_distinct(F.transform(F.filter(found, lambda s: ~F.startswith(s["value"], F.lit("["))), lambda s: F.btrim(s["value"])))
+    df = df.withColumn("_n", F.filter(names, lambda n: F.octet_length(n) >= 3))
+    # one pass for all names, the first found first; a text may hold very many
+    every = F.concat(F.lit("(?iu)(?:"), F.array_join(F.transform("_n", literal), "|"), F.lit(")"))
+    where = F.when(F.size("_n") > 0, spans.outside(spans.find(t, every, entity="PERSON"), spans.tokens(t))).otherwise(spans.none())
+    return _replace(df, where, cfg.keys, "greeting").drop("_n")
 
 
 def label(c: Column) -> Column:
@@ -324,7 +328,8 @@ def structural_tier(df: DataFrame, cfg: Config) -> DataFrame:
     df = _ready(df, F.col("_t"))
     df = _replace(df, spans.gated(spans.find(F.col("_t"), TRIGGERS, 0, "SENSITIVE_EVENT"), TRIGGERS, F.col("_low"), F.col("_digit")), cfg.keys, "structural")
     df = _look_ahead(df, "titles", cfg.keys)
-    df = _replace(df, spans.find(F.col("_t"), POSSESSIVE, 0, "PERSON"), cfg.keys, "structural")
+    df = _ready(df, F.col("_t"))
+    df = _replace(df, spans.gated(spans.find(F.col("_t"), POSSESSIVE, 0, "PERSON"), POSSESSIVE, F.col("_low"), F.col("_digit")), cfg.keys, "structural")
     return _look_ahead(df, "neighbours", cfg.keys)
 
 
