@@ -183,3 +183,12 @@ def test_sql_functions(spark):
     r = spark.sql("SELECT entity, value FROM pii_spans('mail a.b@example.com') WHERE entity = 'EMAIL'").collect()
     assert [tuple(x) for x in r] == [("EMAIL", "a.b@example.com")]
     assert spark.sql("SELECT pii_token('X', 'v') AS t").first().t.startswith("[X_")
+
+
+def test_prescrub_and_sample(spark):
+    df = spark.createDataFrame([(1, "line one\nvisit the Pharmacie du Centre\nmail a.b@example.com"), (2, "nothing"), (3, None)], "id int, text string")
+    got = {r.id: r.scrubbed for r in detect.prescrub(df, KEYS, rules=tuple(r for r in detect.RULES if r.entity in ("HEALTH_ENTITY", "EMAIL"))).collect()}
+    first, second, third = got[1].split("\n")
+    assert first == "line one" and second.startswith(f"{detect.HEALTH_TAG} visit the [HEALTH_ENTITY_") and third.startswith("mail [EMAIL_")
+    assert got[2] == "nothing" and got[3] is None
+    assert detect.sample(df, 2, "id").collect() == detect.sample(df.repartition(3), 2, "id").collect()

@@ -366,3 +366,23 @@ def redact(df: DataFrame, cfg: Config, text: str = "text", out: str = "redacted"
         df = structural_tier(df, cfg)
     short = (F.octet_length(F.coalesce(text, F.lit(""))) < 3) | (F.octet_length(F.btrim(F.coalesce(text, F.lit("")))) < 3)
     return df.withColumns({out: F.when(F.col(text).isNull() | short, F.col(text)).otherwise(_settled(F.col("_t"))), hits: F.when(short, F.array().cast(f"array<{HIT}>")).otherwise(F.col("_h"))}).drop("_t", "_h", "_low", "_digit")
+
+
+# Fixed value: marks lines with health data.
+HEALTH_TAG = "[ART9_HEALTH_RECORD]"
+
+
+def prescrub(df: DataFrame, keys: Keys, text: str = "text", rules=RULES, out: str = "scrubbed", tag: str = HEALTH_TAG) -> DataFrame:
+    """All rules over whole documents, lines with health entities tagged; tokens already there are not guarded."""
+    t = F.col(text)
+    df = _ready(df, t).withColumn("_all", _settled(_candidates_of(text, rules))).drop("_low", "_digit")
+    lines_of = F.transform(F.filter("_all", lambda s: s["entity"] == "HEALTH_ENTITY"), lambda s: F.size(F.split(F.substring(t, F.lit(1), s["start"]), "\n")) - 1)
+    df = df.withColumn("_s", spans.resolve(F.col("_all"))).withColumn("_lines", lines_of)
+    done = spans.splice(t, F.col("_s"), lambda s: mint(s["entity"], hmac_sha256(s["value"], keys.digest)))
+    tagged = F.transform(F.split(done, "\n"), lambda x, i: F.when(F.array_contains("_lines", i) & ~F.startswith(x, F.lit(tag)), F.concat(F.lit(f"{tag} "), x)).otherwise(x))
+    return df.withColumn(out, F.when(F.size("_lines") > 0, F.array_join(tagged, "\n")).otherwise(done)).drop("_all", "_s", "_lines")
+
+
+def sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
+    """n rows by a seeded hash of the key: the same ones on every run."""
+    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)

@@ -142,6 +142,12 @@ def redact_fixtures(spark, d):
     return detect.redact(_fixture(spark), cfg).select("id", "redacted", F.transform("hits", lambda h: F.concat_ws("=", h["entity"], h["value"])).alias("found"))
 
 
+@query()
+def prescrub_fixtures(spark, d):
+    """Whole-document scrub with tagged health lines."""
+    return detect.prescrub(_fixture(spark), KEYS).select("id", "scrubbed")
+
+
 _LICENSE = r"(?i)licensed under"
 
 
