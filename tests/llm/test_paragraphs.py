@@ -98,3 +98,41 @@ def test_similarity_join_is_exact():
             full.unite([(a, b) for a in range(40) for b in range(a) if (not two or side[a] != side[b]) and sim(sets[a], sets[b]) >= 0.8])
             want = full.labels()
             assert len(set(zip(got.tolist(), want.tolist()))) == len(set(got.tolist())) == len(set(want.tolist()))
+
+
+def test_passage_inside_lines(spark):
+    """A passage in the middle of a line, and one dealt over lines, go but for their edges; the first copy and the hosts stay."""
+    rng = random.Random(3)
+    words = lambda tag, n: [f"{tag}{rng.randrange(10**6)}" for _ in range(n)]
+    passage = words("p", 80)
+    hosts = [words(f"h{i}x", 80) for i in range(4)]
+    docs = [(i, " ".join(h[:40] + passage + h[40:])) for i, h in enumerate(hosts[:3])]
+    docs.append((3, " ".join(hosts[3][:40] + passage[:30]) + "\n" + " ".join(passage[30:50]) + "\n" + " ".join(passage[50:] + hosts[3][40:])))
+    # words of one period: the class's first window stays whole
+    docs.append((4, "one\n" + "la " * 60 + "end"))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    left = {r.doc_id: r.text for r in G.deduplicated(df, passages=True).collect()}
+    assert left[0] == docs[0][1] and left[4].split().count("la") >= G.SPAN - 1
+    for i in (1, 2, 3):
+        got = left[i].split()
+        assert [w for w in got if w in set(hosts[i])] == hosts[i]
+        rest = [w for w in got if w in set(passage)]
+        cut = len(passage) - len(rest)
+        assert cut >= 40 and rest in [passage[:a] + passage[a + cut :] for a in range(81 - cut)]
+    assert left[3].count("\n") == 1
+    rows = {r.doc_id: r for r in G.report(df, passages=True).collect()}
+    assert [rows[i].class_doc_ids for i in range(4)] == [[0]] * 4 and rows[3].n_removed == 1
+    assert {r.doc_id: r.class_doc_ids for r in G.report(df.where("doc_id < 3")).collect()} == {0: [], 1: [], 2: []}
+
+
+def test_windows_depend_on_words_only():
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(500)]
+    texts = [" ".join(words).encode(), "\n".join(words).upper().encode(), b"", " ".join(["x", "y", "z", *words[:300]]).encode()]
+    text, first, size, node = G.windows(texts)
+    of = lambda i: list(zip(first[text == i].tolist(), size[text == i].tolist(), node[text == i].tolist()))
+    assert of(0) and of(0) == of(1) and not of(2)
+    moved = {(a - 3, n, x) for a, n, x in of(3)}
+    assert {w for w in of(0) if w[0] + w[1] <= 300} <= moved
+    covered = {k for a, n, _ in of(0) for k in range(a, a + n)}
+    assert covered == set(range(min(covered), max(covered) + 1))

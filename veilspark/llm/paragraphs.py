@@ -12,6 +12,17 @@ classes, and of each class the first paragraph stays.
 Large buckets are dealt into parts, and each pair of parts is a task of its
 own; no bucket is capped.
 
+Passages inside lines, or across their ends, are found by *windows* of words
+that do not depend on lines: where a shingle's hash is the least among the
+``REACH`` shingles before and after it, the ``SPAN`` words that decide this are
+a window, and where two windows in a row do not meet, so is the stretch from
+the first to the end of the second. Equal windows are a class, of which the
+first stays and the others' words are cut from their lines. (Of ``SPAN`` words,
+similarity 0.8 would allow no more than a changed word at an end, so windows
+are compared for equality, by 64-bit hashes. An edited passage is found by its
+stretches between the edits.) The few words of a passage before its first and
+behind its last window stay, as does a passage that holds no window.
+
 Defined cases: null and empty texts have no paragraphs; equal paragraphs in one
 document are duplicates too; first means the smallest document id (null last),
 then the text's hash, then the place; repeated rows get the same result; ties of
@@ -31,11 +42,14 @@ from pyspark.sql import functions as F
 from .base import sha256, slices, small_batches, with_checkpoints
 from .components import components
 from .simhash import Forest
-from .suffixes import Hashes, _mix, _packed, _power
+from .suffixes import Hashes, _mix, _packed, _power, _sliding_least
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 6, 2
+#: Shingles to either side of a window's least one, and words of a window.
+REACH = 6
+SPAN = 2 * REACH + SHINGLE
 #: Different paragraphs of one bucket that make a part.
 CELL = 2048
 
@@ -44,13 +58,51 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every word of a block."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], ~_SPACE[data], [False]]).astype(np.int8)))
+    return edge[::2], edge[1::2]
+
+
+def _shingles(word: np.ndarray) -> np.ndarray:
+    n = max(0, len(word) - SHINGLE + 1)
+    out = np.zeros(n, np.uint64)
+    for j in range(SHINGLE):
+        out += word[j : j + n] * np.uint64(pow(_STEP, j + 1, 1 << 64))
+    return _mix(out)
+
+
+def _contents(word: np.ndarray, first: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of runs of words: polynomials over these."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word * _power(_STEP, len(word)), dtype=np.uint64)])
+    back = _power(pow(_STEP, -1, 1 << 64), len(word) + 1)
+    return _mix((sums[first + words] - sums[first]) * back[first] + words.astype(np.uint64))
+
+
+def windows(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(text, first word in the text, words, content hash) of the windows of a block of texts."""
+    data = np.frombuffer((b"\n".join([*texts, b""])).lower(), np.uint8)
+    start, end = _words(data)
+    if len(start) < SPAN:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+    text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, side="right")
+    word = Hashes(data).of(start, end)
+    shingle = _shingles(word)
+    least = _sliding_least(shingle, 2 * REACH + 1)
+    first = np.flatnonzero((shingle[REACH : REACH + len(least)] == least) & (text[: len(least)] == text[SPAN - 1 :]))
+    apart = np.flatnonzero((first[1:] - first[:-1] > SPAN) & (text[first[1:]] == text[first[:-1]]))
+    size = np.concatenate([np.full(len(first), SPAN), first[apart + 1] + SPAN - first[apart]])
+    first = np.concatenate([first, first[apart]])
+    own = text[first]
+    return own, first - np.searchsorted(text, own), size, _contents(word, first, size)
+
+
 class Lines:
     """Lines of a block of texts with the hashes of their words and shingles."""
 
     def __init__(self, texts: list[bytes]):
         data = np.frombuffer((b"\n".join([*texts, b""])).lower(), np.uint8)
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], ~_SPACE[data], [False]]).astype(np.int8)))
-        start, end = edge[::2], edge[1::2]
+        start, end = _words(data)
         breaks = np.flatnonzero(data == 10)
         line = np.searchsorted(breaks, start)
         word = Hashes(data).of(start, end) if len(start) else np.zeros(0, np.uint64)
@@ -64,15 +116,8 @@ class Lines:
         self.text = np.searchsorted(ends, breaks[number], side="right") if len(number) else number
         firsts = np.searchsorted(breaks, ends - np.array([len(t) + 1 for t in texts])) if texts else ends
         self.place = number - firsts[self.text] if len(number) else number
-        # content of a line: polynomial over its words
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word * _power(_STEP, len(word)), dtype=np.uint64)])
-        back = _power(pow(_STEP, -1, 1 << 64), len(word) + 1)
-        self.node = _mix((sums[self.first + self.words] - sums[self.first]) * back[self.first] + self.words.astype(np.uint64))
-        n = max(0, len(word) - SHINGLE + 1)
-        self.shingle = np.zeros(n, np.uint64)
-        for j in range(SHINGLE):
-            self.shingle += word[j : j + n] * np.uint64(pow(_STEP, j + 1, 1 << 64))
-        self.shingle = _mix(self.shingle)
+        self.node = _contents(word, self.first, self.words)
+        self.shingle = _shingles(word)
 
     def minima(self, seeds: int) -> np.ndarray:
         """Per line the least hash of its shingles under each seed."""
@@ -115,6 +160,19 @@ def _lines(docs: DataFrame, bands: bool) -> DataFrame:
     return docs.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, place int, node long" + ", bands array<long>" * bands)
 
 
+def _windows(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, place, words, node) of all windows; place is the first word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            text, first, size, node = windows([(t or "").encode() for t in batch.column("text").to_pylist()])
+            at = pa.array(text)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(node.view(np.int64))], names=["doc_id", "th", "place", "words", "node"])
+
+    small_batches(docs.sparkSession)
+    return docs.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, place int, words int, node long")
+
+
 def _sets(joined: DataFrame) -> DataFrame:
     """(node, shingles, buckets) of the wanted paragraphs of documents."""
 
@@ -209,9 +267,9 @@ def _links(rows: DataFrame, cell: int) -> DataFrame:
     return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long")
 
 
-def removals(docs: DataFrame, cell: int = CELL) -> DataFrame:
-    """(doc_id, th, packed, found): documents with their paragraphs that belong to classes of two or more
-    (place, whether it goes, the document and the node of the class)."""
+def removals(docs: DataFrame, cell: int = CELL, passages: bool = False) -> DataFrame:
+    """(doc_id, th, packed, found): documents with their paragraphs, and windows if ``passages``, that belong to classes
+    of two or more (place, words, whether it goes, the document and the node of the class; lines have null words)."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     where = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th", "place")
     nodes = _lines(docs, True).groupBy("node").agg(F.min(where).alias("first"), F.count("*").alias("times"), F.min("bands").alias("bands"))
@@ -233,11 +291,53 @@ def removals(docs: DataFrame, cell: int = CELL) -> DataFrame:
     heads = classes.groupBy("class").agg(F.min("first").alias("head"), F.sum("times").alias("size")).where("size > 1")
     of = classes.join(heads, "class").select(F.col("node").alias("n"), "head", "class")
     lines = _lines(docs, False)
-    found = lines.join(of, lines.node == of.n).select("doc_id", "th", "place", "class", F.col("head.doc_id").alias("head_doc"), (~where.eqNullSafe(F.col("head"))).alias("goes"))
-    per = found.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_set(F.struct("place", "goes", "head_doc", "class")).alias("found"))
+    found = lines.join(of, lines.node == of.n).select("doc_id", "th", "place", F.lit(None).cast("int").alias("words"), "class", F.col("head.doc_id").alias("head_doc"), (~where.eqNullSafe(F.col("head"))).alias("goes"))
+    if passages:
+        own = _windows(docs)
+        heads = own.groupBy(F.col("node").alias("class")).agg(F.min(where).alias("head"), F.count("*").alias("times")).where("times > 1")
+        found = found.unionByName(own.join(heads, own.node == F.col("class")).select("doc_id", "th", "place", "words", "class", F.col("head.doc_id").alias("head_doc"), (~where.eqNullSafe(F.col("head"))).alias("goes")))
+    per = found.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_set(F.struct("place", "words", "goes", "head_doc", "class")).alias("found"))
     return packed.join(per, (packed.th == per.t) & packed.doc_id.eqNullSafe(per.d), "left").select("doc_id", "th", "packed", "found")
 
 
+def cut(raw: bytes, found: list[dict]) -> list[bytes]:
+    """The lines that are left. The words of windows that go are cut, but not those of their class's first window here;
+    a line that loses all its words goes."""
+    lines = raw.split(b"\n")
+    gone = {f["place"] for f in found if f["words"] is None and f["goes"]}
+    stays = {f["class"]: f for f in found if f["words"] is not None and not f["goes"]}
+    data = np.frombuffer(raw, np.uint8)
+    start, end = _words(data) if any(f["words"] is not None and f["goes"] for f in found) else (np.zeros(0, np.int64),) * 2
+    out = np.zeros(len(start), bool)
+    for f in found:
+        if f["words"] is not None and f["goes"]:
+            a, b = f["place"], f["place"] + f["words"]
+            head = stays.get(f["class"])
+            if head and head["place"] + head["words"] > a:
+                a = head["place"] + head["words"]
+            out[a:b] = True
+    if not out.any():
+        return [x for i, x in enumerate(lines) if i not in gone]
+    line = np.searchsorted(np.flatnonzero(data == 10), start)
+    begin = np.cumsum([0, *(len(x) + 1 for x in lines)])
+    lost = set(line[out].tolist())
+    kept = []
+    for i, x in enumerate(lines):
+        if i in gone:
+            continue
+        if i in lost:
+            a, b = np.searchsorted(line, [i, i + 1])
+            left = ~out[a:b]
+            if not left.any():
+                continue
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], left, [False]]).astype(np.int8)))
+            low = [int(begin[i]) if k == 0 else int(start[a + k]) for k in edge[::2]]
+            high = [int(begin[i]) + len(x) if k == b - a else int(end[a + k - 1]) for k in edge[1::2]]
+            x = b" ".join(raw[p:q] for p, q in zip(low, high, strict=True))
+        kept.append(x)
+    return kept
+
+
 def _apply(df: DataFrame, made: str, one) -> DataFrame:
     names = [x.strip().split()[0] for x in made.split(",")]
     kinds = [x.strip().split()[1] for x in made.split(",")]
@@ -252,9 +352,8 @@ def _apply(df: DataFrame, made: str, one) -> DataFrame:
                 continue
             rows = []
             for packed, found in zip(batch.column("packed").to_pylist(), batch.column("found").to_pylist(), strict=True):
-                lines = unpress.decompress(packed).split(b"\n")
-                gone = {f["place"] for f in found or () if f["goes"]}
-                rows.append(one(lines, [x for i, x in enumerate(lines) if i not in gone], found or []))
+                raw = unpress.decompress(packed)
+                rows.append(one(raw.split(b"\n"), cut(raw, found or []), found or []))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, arrow[k]) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", *names])
 
     small_batches(df.sparkSession, 256)
@@ -262,7 +361,7 @@ def _apply(df: DataFrame, made: str, one) -> DataFrame:
 
 
 def report(docs: DataFrame, **kw) -> DataFrame:
-    """doc_id, n_lines (not blank), n_removed, kept_sha256 (lines left, joined) and class_doc_ids: the documents
+    """doc_id, n_lines (not blank), n_removed (lines of which nothing is left), kept_sha256 (lines left, joined) and class_doc_ids: the documents
     that hold the first paragraph of each class that has a paragraph here."""
 
     def one(lines: list[bytes], kept: list[bytes], found: list[dict]) -> tuple:

@@ -46,7 +46,7 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.report(base.table(spark, sf_dir, "documents"))
+    return paragraphs.report(base.table(spark, sf_dir, "documents"), passages=True)
 
 
 def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
