@@ -59,13 +59,14 @@ BASE = (
 )
 #: Published shapes of further credentials.
 MORE = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    # to the END line, or else over the base64 lines that follow
+    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+)*-----END [A-Z ]{0,40}PRIVATE KEY-----|(?:[\x09-\x0d\x20]+[A-Za-z0-9+/=]{16,})*)"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
-    Rule("url", r"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._~-]{1,64}:[^\x00-\x20/@\x22\x27\x7f-\U0010ffff]{3,100}@"),
+    Rule("url", r"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._~-]*:[^\x00-\x20/@\x22\x27\x7f-\U0010ffff]{3,}@"),
 )
 RULES = BASE + MORE
 
