@@ -192,3 +192,8 @@ def test_prescrub_and_sample(spark):
     assert first == "line one" and second.startswith(f"{detect.HEALTH_TAG} visit the [HEALTH_ENTITY_") and third.startswith("mail [EMAIL_")
     assert got[2] == "nothing" and got[3] is None
     assert detect.sample(df, 2, "id").collect() == detect.sample(df.repartition(3), 2, "id").collect()
+
+
+def test_long_lines_are_passed_on(spark, tmp_path):
+    (tmp_path / "long.txt").write_text("a\n" + "x" * ((1 << 20) + 1) + "\nb\n")
+    assert sorted(len(r.text) for r in files.lines(spark, str(tmp_path / "long.txt")).collect()) == [1, 1, (1 << 20) + 1]

@@ -15,12 +15,11 @@ SKIPPED = (".git", "node_modules", "venv", "dist")
 EXTENSIONS = (".txt", ".md", ".json", ".csv", ".log", ".xml", ".yaml", ".yml", ".html", ".sql", ".pdf")
 OFFICE = EXTENSIONS + (".docx", ".pptx", ".xlsx")
 LARGEST = 50 << 20
-LINE = 1 << 20
 
 
 def lines(spark: SparkSession, path: str, blank: bool = True) -> DataFrame:
-    """One row per line of at most 1 MiB; blank lines are kept unless told otherwise."""
-    df = spark.read.text(path).select(F.col("value").alias("text")).where(F.octet_length("text") <= LINE)
+    """One row per line of any length; blank lines are kept unless told otherwise."""
+    df = spark.read.text(path).select(F.col("value").alias("text"))
     return df if blank else df.where(F.btrim("text") != "")
 
 
