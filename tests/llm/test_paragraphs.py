@@ -1,138 +1,180 @@
-import hashlib
 import random
 
 import numpy as np
 
 from veilspark.llm import paragraphs as G
-from veilspark.llm.simhash import Forest
-
-
-def shingles(line):
-    w = line.encode().lower().split()
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-
-
-def brute(docs):
-    """Classes by exact all-pairs similarity; first paragraphs stay."""
-    lines = [(i, k, x) for i, t in docs for k, x in enumerate((t or "").split("\n"))]
-    own = [(i, k, s) for i, k, x in lines if (s := shingles(x))]
-    parent = list(range(len(own)))
-
-    def find(a):
-        while parent[a] != a:
-            a = parent[a]
-        return a
-
-    near = 0
-    for a in range(len(own)):
-        for b in range(a):
-            x, y = own[a][2], own[b][2]
-            if len(x & y) / len(x | y) >= 0.8:
-                near += 1
-                parent[max(find(a), find(b))] = min(find(a), find(b))
-    gone, heads = {}, {}
-    for a, (i, k, _) in enumerate(own):
-        h = find(a)
-        if h != a:
-            gone.setdefault(i, set()).add(k)
-        if h != a or any(find(c) == a for c in range(len(own)) if c != a):
-            heads.setdefault(i, set()).add(own[h][0])
-    out = {}
-    for i, t in docs:
-        ls = (t or "").split("\n")
-        kept = [x for k, x in enumerate(ls) if k not in gone.get(i, ())]
-        out[i] = (sum(bool(x.strip()) for x in ls), len(ls) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest(), sorted(heads.get(i, ())))
-    return out
+
+WIDTH = 24
+
+
+def shingled(text, width):
+    w = (text or "").encode().lower().split()
+    return [frozenset(tuple(w[k : k + 5]) for k in range(i, i + width - 4)) for i in range(len(w) - width + 1)]
+
+
+def brute(docs, width):
+    """Pairs of documents with paragraphs of similarity 0.8 or more, by comparing all; and those with equal ones."""
+    own = [(i, shingled(t, width)) for i, t in docs]
+    near, equal = set(), set()
+    for a, (i, x) in enumerate(own):
+        for k, y in own[:a]:
+            if set(x) & set(y):
+                equal.add((k, i))
+            if any(len(p & q) >= 0.8 * len(p | q) - 1e-9 for p in set(x) for q in set(y)):
+                near.add((k, i))
+    return near, equal
 
 
 def corpus():
     rng = random.Random(11)
-    vocab = [a + b for a in ("an", "ti", "É", "re") for b in ("ou", "x", "st", "日", "lo")]
+    vocab = [a + b for a in ("an", "ti", "É", "re", "mu", "ko") for b in ("ou", "x", "st", "日", "lo", "pe")]
     line = lambda n: " ".join(rng.choices(vocab, k=n))
-    shared = [line(60) for _ in range(3)]
-    docs = [(0, None), (1, ""), (2, "one two\n\none two"), (3, "a b c d e"), (4, "A  b\tc D e\r"), (5, "\n".join([shared[0]] * 3))]
-    for i in range(6, 50):
-        t = [line(rng.randint(1, 40)) for _ in range(rng.randint(0, 4))]
-        if rng.random() < 0.7:
+    shared, stock = [line(60) for _ in range(3)], line(16)
+    docs = [(0, None), (1, ""), (2, "one two\n\none two"), (3, "a b c d e"), (4, line(WIDTH - 1))]
+    for i in range(5, 50):
+        t = [line(rng.randint(1, 40)) for _ in range(rng.randint(1, 4))]
+        if rng.random() < 0.5:
+            t.insert(rng.randrange(len(t)), stock)
+        if rng.random() < 0.4:
             s = rng.choice(shared).split()
-            for _ in range(rng.choice([0, 0, 1, 1, 2, 4])):
+            a = rng.randrange(20)
+            s = s[a : a + rng.randint(20, 50)]
+            for _ in range(rng.choice([0, 0, 1, 1])):
                 s[rng.randrange(len(s))] = "edit" + str(rng.randint(0, 5))
             t.insert(rng.randint(0, len(t)), " ".join(s))
-        docs.append((i, "\n".join(t)))
+        docs.append((i, rng.choice(["\n", " ", "\r\n  "]).join(t)))
     return docs
 
 
-def test_report(spark):
+def test_classes_join_documents_that_share_paragraphs(spark):
     docs = corpus()
+    near, equal = brute(docs, WIDTH)
+    assert len(near) > len(equal) > 20
     df = spark.createDataFrame([(i, t, [1]) for i, t in docs], "doc_id long, text string, class_doc_ids array<int>")
-    want = brute(docs)
-    for cell in (G.CELL, 4):
-        rows = {r.doc_id: tuple(r)[1:] for r in G.report(df, cell=cell).collect()}
-        wrong = [i for i in want if rows[i] != want[i]]
-        assert not wrong, [(i, rows[i], want[i]) for i in wrong]
-    again = sorted(map(str, G.report(df.unionByName(df)).collect()))
-    assert len(again) == 2 * len(docs)
+    for cell, piece in ((G.CELL, G.PIECE), (4, 200)):
+        # the fewer shingles, the more bands it takes
+        found = G.removals(df, WIDTH, bands=6, cell=cell, piece=piece).collect()
+        member = {}
+        for r in found:
+            for f in r.found or []:
+                member.setdefault(f["class"], set()).add(r.doc_id)
+        linked = {(a, b) for m in member.values() for a in m for b in m if a < b}
+        assert equal <= linked and len(near & linked) >= 0.95 * len(near)
+        # classes are components of true links
+        parent = {i: i for i, _ in docs}
+        find = lambda a: a if parent[a] == a else find(parent[a])
+        for a, b in near:
+            parent[find(b)] = find(a)
+        assert all(find(a) == find(b) for a, b in linked)
+    rows = {r.doc_id: r for r in G.report(df, WIDTH, bands=6).collect()}
+    clean = {i for i, _ in docs} - {i for p in near for i in p}
+    assert len(clean) > 10 and all(rows[i].class_doc_ids == [] for i in clean)
+    assert all(rows[a].class_doc_ids and rows[b].class_doc_ids for a, b in equal)
     assert G.report(df.limit(0)).collect() == []
-    nulls = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (None, None)], "doc_id long, text string")
-    got = {(r.doc_id, r.text) for r in G.deduplicated(nulls).collect()}
-    assert got == {(None, ""), (7, "a b c d e f")}
 
 
-def test_similarity_join_is_exact():
-    rng = np.random.default_rng(5)
-    for _ in range(40):
-        base = [rng.integers(0, 60, 20) for _ in range(4)]
-        sets = []
-        for _ in range(40):
-            s = base[rng.integers(4)].copy()
-            s[rng.integers(0, 20, rng.integers(0, 4))] = rng.integers(60, 90)
-            sets.append(np.unique(s).astype(np.uint64))
-        for side in ([0] * 40, [int(x) for x in rng.integers(0, 2, 40)]):
-            forest = Forest(0)
-            G.join_sets(sets, side, forest)
-            tree = Forest(40)
-            tree.unite(forest.edges)
-            got, full = tree.labels(), Forest(40)
-            two = len(set(side)) > 1
-            sim = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-            full.unite([(a, b) for a in range(40) for b in range(a) if (not two or side[a] != side[b]) and sim(sets[a], sets[b]) >= 0.8])
-            want = full.labels()
-            assert len(set(zip(got.tolist(), want.tolist()))) == len(set(got.tolist())) == len(set(want.tolist()))
-
-
-def test_passage_inside_lines(spark):
-    """A passage in the middle of a line, and one dealt over lines, go but for their edges; the first copy and the hosts stay."""
+def test_what_is_cut_is_held_by_an_earlier_document(spark):
+    docs = corpus()
+    left = {r.doc_id: r.text for r in G.deduplicated(spark.createDataFrame(docs, "doc_id long, text string"), WIDTH, bands=6).collect()}
+    first = lambda t: {tuple(p) for p in shingled(t, 5)}
+    whole = [(i, first(t)) for i, t in docs]
+    for n, (i, t) in enumerate(docs):
+        before = set().union(*(s for _, s in whole[:n])) if n else set()
+        own = (t or "").split()
+        kept = left[i].split()
+        # what stays is a subsequence, and a text without repeats stays as it is
+        it = iter(own)
+        assert all(w in it for w in kept)
+        if not shingled(t, WIDTH) or not first(t) & before and len(set(shingled(t, WIDTH))) == len(shingled(t, WIDTH)):
+            assert left[i] == (t or "")
+
+
+def test_planted_passages(spark):
+    """Passages of 51 words and more in the middle of lines, dealt over lines, or edited, are found; stock lines are not."""
     rng = random.Random(3)
     words = lambda tag, n: [f"{tag}{rng.randrange(10**6)}" for _ in range(n)]
-    passage = words("p", 80)
-    hosts = [words(f"h{i}x", 80) for i in range(4)]
-    docs = [(i, " ".join(h[:40] + passage + h[40:])) for i, h in enumerate(hosts[:3])]
-    docs.append((3, " ".join(hosts[3][:40] + passage[:30]) + "\n" + " ".join(passage[30:50]) + "\n" + " ".join(passage[50:] + hosts[3][40:])))
-    # words of one period: the class's first window stays whole
-    docs.append((4, "one\n" + "la " * 60 + "end"))
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    left = {r.doc_id: r.text for r in G.deduplicated(df, passages=True).collect()}
-    assert left[0] == docs[0][1] and left[4].split().count("la") >= G.SPAN - 1
-    for i in (1, 2, 3):
-        got = left[i].split()
-        assert [w for w in got if w in set(hosts[i])] == hosts[i]
-        rest = [w for w in got if w in set(passage)]
-        cut = len(passage) - len(rest)
-        assert cut >= 40 and rest in [passage[:a] + passage[a + cut :] for a in range(81 - cut)]
-    assert left[3].count("\n") == 1
-    rows = {r.doc_id: r for r in G.report(df, passages=True).collect()}
-    assert [rows[i].class_doc_ids for i in range(4)] == [[0]] * 4 and rows[3].n_removed == 1
-    assert {r.doc_id: r.class_doc_ids for r in G.report(df.where("doc_id < 3")).collect()} == {0: [], 1: [], 2: []}
-
-
-def test_windows_depend_on_words_only():
+    stock = words("stock", 40)
+    docs, caught, clean = [], set(), set()
+    for k in range(60):
+        passage = words("p", rng.randint(51, 90))
+        for _ in range(rng.choice([2, 2, 3])):
+            a, b = words("h", rng.randint(0, 90)), words("t", rng.randint(0, 90))
+            caught.add(len(docs))
+            docs.append(rng.choice([" ", "\n"]).join(a + [rng.choice([" ", "\n"]).join(passage)] + b))
+        clean.add(len(docs))
+        docs.append(" ".join(words("c", 30)) + "\n" + " ".join(stock) + "\n" + " ".join(words("d", rng.randint(0, 200))))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in G.report(df).collect()}
+    assert all(rows[i].class_doc_ids for i in caught)
+    assert all(rows[i].class_doc_ids == [] and rows[i].n_removed == 0 for i in clean)
+    assert sum(rows[i].n_removed for i in caught) >= 51 * 60
+
+
+def test_edited_passages(spark):
+    """Passages of which some words were changed, put in or left out."""
+    rng = random.Random(5)
+    words = lambda tag, n: [f"{tag}{rng.randrange(10**6)}" for _ in range(n)]
+    docs = []
+    for _ in range(80):
+        passage = words("p", 110)
+        other = list(passage)
+        other[55] = "new"
+        if rng.random() < 0.5:
+            other.insert(54, "more")
+        else:
+            del other[56]
+        docs += [" ".join(words("a", 20) + passage), " ".join(other + words("b", 30))]
+    rows = {r.doc_id: r.class_doc_ids for r in G.report(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    assert sum(rows[i] == [i // 2 * 2] for i in rows) >= 0.9 * len(docs)
+
+
+def test_cases(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(None, text), (7, text), (7, text), (None, None), (8, "la " * 400 + "end"), (9, text.upper() + "\n" + text)], "doc_id long, text string")
+    rows = G.deduplicated(df).collect()
+    left = sorted((r.doc_id or 0, r.text) for r in rows)
+    assert left[:2] == [(0, ""), (0, "")] and left[2:4] == [(7, text)] * 2
+    assert left[4][1].split().count("la") >= G.WIDTH and left[5] == (9, "")
+    ids = sorted((r.doc_id or 0, tuple(r.class_doc_ids)) for r in G.report(df).collect())
+    assert ids == [(0, ()), (0, (7,)), (7, (7,)), (7, (7,)), (8, ()), (9, (7,))]
+
+
+def test_pieces_hold_each_paragraph_once():
+    rng = random.Random(2)
+    raw = " ".join("x" * rng.randint(1, 30) + str(i) for i in range(500)).encode()
+    words = raw.split()
+    for size in (1, 100, 1000, 10**6):
+        seen = []
+        for at, part in G.pieces(raw, 10, size):
+            own = part.split()
+            assert own == words[at : at + len(own)]
+            seen += range(at, at + len(own) - 9)
+        assert seen == list(range(len(words) - 9))
+    assert list(G.pieces(b" " * 50, 10, 20)) == [(0, b"")]
+
+
+def test_segments_depend_on_words_only():
     rng = random.Random(4)
     words = [f"w{rng.randrange(10**6)}" for _ in range(500)]
-    texts = [" ".join(words).encode(), "\n".join(words).upper().encode(), b"", " ".join(["x", "y", "z", *words[:300]]).encode()]
-    text, first, size, node = G.windows(texts)
-    of = lambda i: list(zip(first[text == i].tolist(), size[text == i].tolist(), node[text == i].tolist()))
+    texts = [" ".join(words).encode(), "\n".join(words).upper().encode(), b"", " ".join(["x", "y", "z", *words]).encode()]
+    text, low, count, off, bucket, node = G.segments(texts)
+    of = lambda i: list(zip(low[text == i].tolist(), count[text == i].tolist(), off[text == i].tolist(), bucket[text == i].tolist(), node[text == i].tolist()))
     assert of(0) and of(0) == of(1) and not of(2)
-    moved = {(a - 3, n, x) for a, n, x in of(3)}
-    assert {w for w in of(0) if w[0] + w[1] <= 300} <= moved
-    covered = {k for a, n, _ in of(0) for k in range(a, a + n)}
-    assert covered == set(range(min(covered), max(covered) + 1))
+    assert sum(n for _, n, *_ in of(0)) == G.BANDS * (500 - G.WIDTH + 1)
+    moved = {(a - 3, n, o, b, x) for a, n, o, b, x in of(3)}
+    assert len(set(of(0)) - moved) <= G.BANDS
+
+
+def test_verification_is_exact():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        a = rng.integers(0, 400 if rng.random() < 0.7 else 12, rng.integers(12, 20)).astype(np.uint64)
+        b = a.copy()
+        b[rng.integers(0, len(b), rng.integers(0, 4))] = rng.integers(400, 500)
+        want = []
+        for k in range(len(a) - 7):
+            x, y = set(a[k : k + 8].tolist()), set(b[k : k + 8].tolist())
+            if len(x & y) >= 0.8 * len(x | y) - 1e-9:
+                want.append(k)
+        got = G._likes(a, b, 8, 0.8)
+        assert got == ((want[0], want[-1]) if want else None)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from veilspark import prepare
 
 #: Rows and bytes of text that one step of a Python operator works on.
-BATCH_ROWS = 1024
+BATCH_ROWS = 4096
 BATCH_BYTES = 1 << 20
 
 
@@ -35,10 +35,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches small, since single texts may be very long; let workers find the package."""
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small, since single texts may be very long; let workers find the package.
+
+    All operators set the same values, so it does not matter in which order their frames are made and run.
+    """
     prepare(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

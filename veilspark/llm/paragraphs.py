@@ -1,37 +1,38 @@
-"""Near-duplicate paragraphs by MinHash bands, exact Jaccard and components.
+"""Repeated paragraphs by MinHash bands, exact Jaccard and components.
 
-A paragraph is a line. Its words (split at ASCII white space, A-Z lowered) give
-five-word shingles; paragraphs of fewer words have none and are always kept.
-Equal paragraphs are one node. Signatures of ``BANDS`` bands of ``ROWS``
-minima each bring paragraphs of Jaccard similarity 0.8 or more together with
-probability 1 - (1 - 0.8**ROWS)**BANDS, which is 0.998. Within a bucket an exact
-similarity join (rare shingles first, so that only pairs that can reach the
-threshold meet) gives the edges of a spanning forest, components of these are
-classes, and of each class the first paragraph stays.
+A paragraph is a passage of ``WIDTH`` words (split at ASCII white space, A-Z
+lowered), wherever it begins and however it is broken into lines; its elements
+are its five-word shingles. So every place of a text begins a paragraph, and
+shorter stock lines are none of their own.
+
+*Bands.* Under each of ``BANDS`` seeds the least shingle hash of a paragraph is
+its band. Consecutive paragraphs with one least hash are a segment, of which
+there is about one every 24 words and band. Paragraphs of similarity 0.8 share
+a band with probability 1 - 0.2**BANDS, which is 0.992; equal ones always do.
+
+*Verification.* Segments that are equal as a whole are one node. Where a bucket
+holds different segments, an exact join (rarest shingles first, so that only
+segments that can reach the threshold meet) finds those of which paragraphs at
+the same place relative to the least shingle have Jaccard similarity 0.8 or
+more. The edges of a spanning forest go on, with the words that match.
+
+*Classes.* Components of these edges are classes. Of each class the first
+segment stays; of every later one the words go that match an earlier one.
 
 Large buckets are dealt into parts, and each pair of parts is a task of its
 own; no bucket is capped.
 
-Passages inside lines, or across their ends, are found by *windows* of words
-that do not depend on lines: where a shingle's hash is the least among the
-``REACH`` shingles before and after it, the ``SPAN`` words that decide this are
-a window, and where two windows in a row do not meet, so is the stretch from
-the first to the end of the second. Equal windows are a class, of which the
-first stays and the others' words are cut from their lines. (Of ``SPAN`` words,
-similarity 0.8 would allow no more than a changed word at an end, so windows
-are compared for equality, by 64-bit hashes. An edited passage is found by its
-stretches between the edits.) The few words of a passage before its first and
-behind its last window stay, as does a passage that holds no window.
-
-Defined cases: null and empty texts have no paragraphs; equal paragraphs in one
-document are duplicates too; first means the smallest document id (null last),
-then the text's hash, then the place; repeated rows get the same result; ties of
-minima mean nothing.
+Defined cases: null texts and texts under ``WIDTH`` words have no paragraphs;
+repeats in one document go too; first means the smallest document id (null
+last), then the text's hash, then the place; repeated rows get the same result,
+and rows equal in id and text are one document; ties of minima mean nothing;
+very long texts are worked on in pieces; an empty table gives an empty result.
+Columns other than doc_id and text are not looked at, so their names may clash.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,19 +40,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import sha256, slices, small_batches, with_checkpoints
+from .base import sha256, shared_folder, slices, small_batches, with_checkpoints
 from .components import components
 from .simhash import Forest
-from .suffixes import Hashes, _mix, _packed, _power, _sliding_least
+from .suffixes import Hashes, _mix, _pack, _packed, _power, _sliding_least, _unpack
 
 SHINGLE = 5
+WIDTH = 50
 THRESHOLD = 0.8
-BANDS, ROWS = 6, 2
-#: Shingles to either side of a window's least one, and words of a window.
-REACH = 6
-SPAN = 2 * REACH + SHINGLE
-#: Different paragraphs of one bucket that make a part.
+BANDS = 3
+#: Different segments of one bucket that make a part.
 CELL = 2048
+#: Bytes of a piece of a long text.
+PIECE = 4 << 20
 
 _STEP = 0xD6E8FEB86659FD93
 _SPACE = np.zeros(256, bool)
@@ -79,161 +80,172 @@ def _contents(word: np.ndarray, first: np.ndarray, words: np.ndarray) -> np.ndar
     return _mix((sums[first + words] - sums[first]) * back[first] + words.astype(np.uint64))
 
 
-def windows(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text, first word in the text, words, content hash) of the windows of a block of texts."""
-    data = np.frombuffer((b"\n".join([*texts, b""])).lower(), np.uint8)
+def pieces(raw: bytes, width: int = WIDTH, size: int = PIECE) -> Iterator[tuple[int, bytes]]:
+    """(first word, bytes) of pieces that overlap so that each paragraph lies in exactly one."""
+    if len(raw) <= size:
+        yield 0, raw
+        return
+    start, end = _words(np.frombuffer(raw, np.uint8))
+    at = 0
+    while True:
+        stop = max(at + width, int(np.searchsorted(end, start[at] + size, side="right"))) if at < len(start) else at
+        if stop >= len(start):
+            yield at, raw[start[at] :] if at < len(start) else b""
+            return
+        yield at, raw[start[at] : end[stop - 1]]
+        at = stop - width + 1
+
+
+def segments(texts: list[bytes], width: int = WIDTH, bands: int = BANDS) -> tuple[np.ndarray, ...]:
+    """(text, first word, paragraphs, least shingle's place minus first word, bucket, node) of the segments of a block of texts."""
+    data = np.frombuffer(b"\n".join([*texts, b""]).lower(), np.uint8)
     start, end = _words(data)
-    if len(start) < SPAN:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+    size = width - SHINGLE + 1
     text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, side="right")
+    inside = np.flatnonzero(text[: max(0, len(text) - width + 1)] == text[width - 1 :])
+    if not len(inside):
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
+    begin = np.searchsorted(text, np.arange(len(texts)))
     word = Hashes(data).of(start, end)
     shingle = _shingles(word)
-    least = _sliding_least(shingle, 2 * REACH + 1)
-    first = np.flatnonzero((shingle[REACH : REACH + len(least)] == least) & (text[: len(least)] == text[SPAN - 1 :]))
-    apart = np.flatnonzero((first[1:] - first[:-1] > SPAN) & (text[first[1:]] == text[first[:-1]]))
-    size = np.concatenate([np.full(len(first), SPAN), first[apart + 1] + SPAN - first[apart]])
-    first = np.concatenate([first, first[apart]])
-    own = text[first]
-    return own, first - np.searchsorted(text, own), size, _contents(word, first, size)
-
-
-class Lines:
-    """Lines of a block of texts with the hashes of their words and shingles."""
-
-    def __init__(self, texts: list[bytes]):
-        data = np.frombuffer((b"\n".join([*texts, b""])).lower(), np.uint8)
-        start, end = _words(data)
-        breaks = np.flatnonzero(data == 10)
-        line = np.searchsorted(breaks, start)
-        word = Hashes(data).of(start, end) if len(start) else np.zeros(0, np.uint64)
-        new = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
-        count = np.diff(np.append(new, len(line)))
-        long = count >= SHINGLE
-        #: first word, number of words and number in the block of every line with shingles
-        self.first, self.words = new[long], count[long]
-        number = line[self.first] if len(line) else np.zeros(0, np.int64)
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        self.text = np.searchsorted(ends, breaks[number], side="right") if len(number) else number
-        firsts = np.searchsorted(breaks, ends - np.array([len(t) + 1 for t in texts])) if texts else ends
-        self.place = number - firsts[self.text] if len(number) else number
-        self.node = _contents(word, self.first, self.words)
-        self.shingle = _shingles(word)
-
-    def minima(self, seeds: int) -> np.ndarray:
-        """Per line the least hash of its shingles under each seed."""
-        out = np.empty((len(self.first), seeds), np.uint64)
-        if not len(self.first):
-            return out
-        size = self.words - SHINGLE + 1
-        begin = np.cumsum(size) - size
-        at = np.repeat(self.first - begin, size) + np.arange(size.sum())
-        own = self.shingle[at]
-        for s in range(seeds):
-            out[:, s] = np.minimum.reduceat(_mix(own + np.uint64((s + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)), begin)
-        return out
-
-    def sets(self, i: int) -> np.ndarray:
-        a = int(self.first[i])
-        return np.unique(self.shingle[a : a + int(self.words[i]) - SHINGLE + 1])
-
-
-def _lines(docs: DataFrame, bands: bool) -> DataFrame:
-    """(doc_id, th, place, node[, bands]) of all paragraphs with shingles."""
+    low_bits = np.uint64((1 << 32) - 1)
+    out = []
+    for band in range(bands):
+        h = _mix(shingle + np.uint64((band + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+        least = _sliding_least(h & ~low_bits | np.arange(len(h), dtype=np.uint64), size)[inside]
+        value, place = least >> np.uint64(32), (least & low_bits).astype(np.int64)
+        # a segment ends with its least hash, its text, or the window in which its least shingle stands
+        new = np.concatenate([[True], (value[1:] != value[:-1]) | (np.diff(inside) != 1) | (text[inside[1:]] != text[inside[:-1]])])
+        head = np.flatnonzero(new)
+        run = np.diff(np.append(head, len(inside)))
+        if len(run) and run.max() > size:  # a least hash that comes again and again: cut after each ``size`` paragraphs
+            cuts = -(-run // size)
+            inner = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+            head = np.repeat(head, cuts) + inner * size
+            run = np.minimum(size, np.repeat(run, cuts) - inner * size)
+        low, off = inside[head], place[head] - inside[head]
+        bucket = _mix(h[place[head]] ^ np.uint64(band + 1))
+        node = _mix(_contents(word, low, run - 1 + width) ^ _mix(bucket + off.astype(np.uint64)))
+        out.append((text[low], low - begin[text[low]], run, off, bucket, node))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _segments(docs: DataFrame, width: int, bands: int, piece: int) -> DataFrame:
+    """(doc_id, th, bucket, node, place) of all segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            own = Lines([(t or "").encode() for t in batch.column("text").to_pylist()])
-            at = pa.array(own.text)
-            columns = [batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(own.place.astype(np.int32)), pa.array(own.node.view(np.int64))]
-            if bands:
-                m = own.minima(BANDS * ROWS)
-                keys = np.empty((len(m), BANDS), np.uint64)
-                for b in range(BANDS):
-                    key = np.full(len(m), b + 1, np.uint64)
-                    for r in range(ROWS):
-                        key = _mix(key * np.uint64(_STEP) + m[:, b * ROWS + r])
-                    keys[:, b] = key
-                columns.append(pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "place", "node", "bands"][: len(columns)])
+            own, owner, shift = [], [], []
+            for i, t in enumerate(batch.column("text").to_pylist()):
+                for at, part in pieces((t or "").encode(), width, piece):
+                    own.append(part)
+                    owner.append(i)
+                    shift.append(at)
+            done = 0
+            while done < len(own):
+                upto, held = done, 0
+                while upto < len(own) and (upto == done or held + len(own[upto]) <= piece):
+                    held += len(own[upto])
+                    upto += 1
+                text, low, count, off, bucket, node = segments(own[done:upto], width, bands)
+                at = pa.array(np.array(owner[done:upto])[text])
+                place = _pack(low + np.array(shift[done:upto])[text], count, off)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(bucket.view(np.int64)), pa.array(node.view(np.int64)), pa.array(place)], names=["doc_id", "th", "bucket", "node", "place"])
+                done = upto
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, place int, node long" + ", bands array<long>" * bands)
+    return docs.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, bucket long, node long, place long")
 
 
-def _windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, place, words, node) of all windows; place is the first word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            text, first, size, node = windows([(t or "").encode() for t in batch.column("text").to_pylist()])
-            at = pa.array(text)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(node.view(np.int64))], names=["doc_id", "th", "place", "words", "node"])
-
-    small_batches(docs.sparkSession)
-    return docs.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, place int, words int, node long")
-
-
-def _sets(joined: DataFrame) -> DataFrame:
-    """(node, shingles, buckets) of the wanted paragraphs of documents."""
+def _bodies(joined: DataFrame, width: int) -> DataFrame:
+    """(bucket, parts, node, off, shingles) of the wanted segments of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unpress = zstandard.ZstdDecompressor()
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                own = Lines([unpress.decompress(p) for p in part.column("packed").to_pylist()])
-                where = {(t, p): k for k, (t, p) in enumerate(zip(own.text.tolist(), own.place.tolist(), strict=True))}
-                node, sets, buckets = [], [], []
-                for t, wanted in enumerate(part.column("wanted").to_pylist()):
-                    for w in wanted:
-                        node.append(w["node"])
-                        sets.append(own.sets(where[t, w["place"]]).tobytes())
-                        buckets.append(w["buckets"])
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary()), pa.array(buckets, pa.list_(pa.struct([("bucket", pa.int64()), ("parts", pa.int32())])))], names=["node", "shingles", "buckets"])
-
-    return joined.select("packed", "wanted").mapInArrow(run, "node long, shingles binary, buckets array<struct<bucket:long,parts:int>>")
-
-
-def join_sets(sets: list[np.ndarray], side: list[int], forest: Forest, threshold: float = THRESHOLD) -> None:
-    """Unites all pairs of sets with Jaccard similarity ``threshold`` or more; with two sides, only pairs across them.
-
-    Sets in order of size are looked up in, and then added to, an index of
-    their rarest elements: enough of them that a similar pair shares one.
+            for packed, wanted in zip(batch.column("packed"), batch.column("wanted"), strict=True):
+                data = np.frombuffer(unpress.decompress(packed.as_py()).lower(), np.uint8)
+                start, end = _words(data)
+                shingle = _shingles(Hashes(data).of(start, end))
+                table = pa.RecordBatch.from_struct_array(wanted.values)
+                low, count, off = _unpack(table.column("place").to_numpy())
+                body = pa.array([shingle[a : a + n + width - SHINGLE].tobytes() for a, n in zip(low.tolist(), count.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([table.column("bucket"), table.column("parts"), table.column("node"), pa.array(off.astype(np.int32)), body], names=["bucket", "parts", "node", "off", "shingles"])
+
+    return joined.select("packed", "wanted").mapInArrow(run, "bucket long, parts int, node long, off int, shingles binary")
+
+
+def _likes(a: np.ndarray, b: np.ndarray, size: int, threshold: float) -> tuple[int, int] | None:
+    """First and last place of paragraphs of ``a`` and ``b`` (aligned) whose sets of shingles reach the threshold."""
+    if len(a) < size or len(b) < size:
+        return None
+    both = np.concatenate([[0], np.cumsum(np.isin(a, b))]), np.concatenate([[0], np.cumsum(np.isin(b, a))])
+    held = np.minimum(both[0][size:] - both[0][:-size], both[1][size:] - both[1][:-size])
+    good = []
+    # with repeated shingles a count of places says nothing, so only places without any are given up
+    plain = len(np.unique(a)) == len(a) and len(np.unique(b)) == len(b)
+    for k in np.flatnonzero(held >= (np.ceil(threshold * size - 1e-9) if plain else 1)).tolist():
+        x, y = set(a[k : k + size].tolist()), set(b[k : k + size].tolist())
+        n = len(x & y)
+        if n >= threshold * (len(x) + len(y) - n) - 1e-9:
+            good.append(k)
+    return (good[0], good[-1]) if good else None
+
+
+def join_segments(bodies: list[np.ndarray], off: list[int], side: list[int], width: int = WIDTH, threshold: float = THRESHOLD) -> list[tuple[int, int, int, int]]:
+    """(i, k, low, high): a spanning forest of the pairs that hold like paragraphs at the same distance from the least shingle.
+
+    With two sides only pairs across them are looked at. The words ``low`` to
+    ``high``, counted from the least shingle, match.
     """
-    often = Counter()
-    for s in sets:
-        often.update(s.tolist())
+    size = width - SHINGLE + 1
+    sets = [np.unique(b) for b in bodies]
+    value, back, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    edge = np.cumsum([0, *map(len, sets)])
     two = len(set(side)) > 1
-    members = [frozenset(s.tolist()) for s in sets]
     index: dict[int, list[int]] = defaultdict(list)
-    label = np.arange(len(sets))
-    for i in sorted(range(len(sets)), key=lambda k: len(sets[k])):
-        own = sorted(members[i], key=lambda e: (often[e], e))
-        prefix = own[: len(own) - int(np.ceil(threshold * len(own) - 1e-9)) + 1]
-        found = np.unique(np.array([k for e in prefix for k in index[e]], np.int64)) if any(e in index for e in prefix) else np.zeros(0, np.int64)
-        if two and len(found):
-            found = found[np.array([side[k] != side[i] for k in found.tolist()], bool)]
-        while len(found):
-            # one candidate of each tree that is not this one's yet
-            found = found[label[found] != label[i]]
-            if not len(found):
+    label = np.arange(len(bodies))
+    found = []
+    for i in range(len(bodies)):
+        own = back[edge[i] : edge[i + 1]]
+        if len(own) == len(bodies[i]):
+            need = int(np.ceil(threshold * size - 1e-9))
+        else:  # the fewest different shingles of a paragraph
+            need = int(np.ceil(threshold * min(len(set(bodies[i][k : k + size].tolist())) for k in range(len(bodies[i]) - size + 1)) - 1e-9))
+        # shingles of no other segment never match; of the rest, all but ``need`` - 1 hold a match
+        shared = own[often[own] > 1]
+        if len(shared) < need:
+            continue
+        prefix = shared[np.lexsort((shared, often[shared]))][: len(shared) - need + 1].tolist()
+        near = np.unique(np.array([k for e in prefix for k in index[e]], np.int64))
+        if two and len(near):
+            near = near[np.array([side[k] != side[i] for k in near.tolist()], bool)]
+        while len(near):
+            near = near[label[near] != label[i]]
+            if not len(near):
                 break
-            _, first = np.unique(label[found], return_index=True)
-            tried = found[first]
+            # one candidate of each tree that is not this one's yet
+            _, first = np.unique(label[near], return_index=True)
+            tried = near[first]
             for k in tried.tolist():
-                a, b = members[i], members[k]
-                if len(b) >= threshold * len(a) - 1e-9 and (both := len(a & b)) >= threshold * (len(a) + len(b) - both) - 1e-9 and label[i] != label[k]:
-                    forest.edges.append((i, k))
+                if label[k] == label[i]:
+                    continue
+                shift = min(off[i], off[k])
+                a, b = bodies[i][off[i] - shift :], bodies[k][off[k] - shift :]
+                n = min(len(a), len(b))
+                if like := _likes(a[:n], b[:n], size, threshold):
+                    found.append((i, k, like[0] - shift, like[1] - shift + width))
                     label[label == label[i]] = label[k]
-            found = np.setdiff1d(found, tried, assume_unique=True)
+            near = np.setdiff1d(near, tried, assume_unique=True)
         for e in prefix:
             index[e].append(i)
+    return found
 
 
-def _links(rows: DataFrame, cell: int) -> DataFrame:
-    """Edges (u, v) from (cell, side, node, shingles), dealt and sorted by cell."""
+def _links(rows: DataFrame, cell: int, width: int, threshold: float) -> DataFrame:
+    """Edges (u, v, u_low, u_high, v_low, v_high) from (cell, side, node, off, shingles), dealt and sorted by cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -250,126 +262,140 @@ def _links(rows: DataFrame, cell: int) -> DataFrame:
             yield from cells(pa.Table.from_batches(held))
 
     def cells(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, node = table.column("cell").to_numpy(), table.column("node").to_numpy()
+        key, node, off = (table.column(c).to_numpy() for c in ("cell", "node", "off"))
         side, body = table.column("side").to_pylist(), table.column("shingles").to_pylist()
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist() + [len(key)]
-        u, v = [], []
+        out = []
         for a, b in zip(first, first[1:]):
-            if b - a < 2:
-                continue
-            forest = Forest(0)
-            join_sets([np.frombuffer(x, np.uint64) for x in body[a:b]], side[a:b], forest)
-            u += [int(node[a + x]) for x, _ in forest.edges]
-            v += [int(node[a + y]) for _, y in forest.edges]
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            if b - a > 1:
+                own = off[a:b].tolist()
+                made = join_segments([np.frombuffer(x, np.uint64) for x in body[a:b]], own, side[a:b], width, threshold)
+                out += [(int(node[a + i]), int(node[a + k]), low + own[i], high + own[i], low + own[k], high + own[k]) for i, k, low, high in made]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["u", "v", "u_low", "u_high", "v_low", "v_high"])
 
     small_batches(rows.sparkSession)
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long")
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long, u_low long, u_high long, v_low long, v_high long")
+
 
+def removals(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, threshold: float = THRESHOLD, cell: int = CELL, piece: int = PIECE) -> DataFrame:
+    """(doc_id, th, packed, found): documents with their segments that belong to classes of two or more.
 
-def removals(docs: DataFrame, cell: int = CELL, passages: bool = False) -> DataFrame:
-    """(doc_id, th, packed, found): documents with their paragraphs, and windows if ``passages``, that belong to classes
-    of two or more (place, words, whether it goes, the document and the node of the class; lines have null words)."""
+    Of ``found``: first word and words of the segment, words that go (none: null), the document of the class's first
+    segment, whether that is this segment (``first``), whether the class is of several documents, and the class.
+    """
+    spark = docs.sparkSession
+    with_checkpoints(spark)
+    folder = shared_folder(spark, "paragraphs")
+    kept = lambda df, name: (df.write.option("compression", "zstd").parquet(f"{folder}/{name}"), spark.read.parquet(f"{folder}/{name}"))[1]
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    rows = kept(_segments(docs, width, bands, piece), "segments")
+    many = kept(rows.groupBy("bucket").count().where("count > 1").select("bucket"), "buckets")
+    repeated = kept(rows.join(many, "bucket", "left_semi"), "repeated")
+    doc = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th")
     where = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th", "place")
-    nodes = _lines(docs, True).groupBy("node").agg(F.min(where).alias("first"), F.count("*").alias("times"), F.min("bands").alias("bands"))
-    with_checkpoints(docs.sparkSession)
-    nodes = nodes.checkpoint()
-    keyed = nodes.select("node", F.explode("bands").alias("bucket"))
-    many = keyed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket", F.ceil(F.col("size") / cell).cast("int").alias("parts"))
-    wanted = keyed.join(many, "bucket").groupBy("node").agg(F.collect_list(F.struct("bucket", "parts")).alias("buckets"))
-    wanted = wanted.join(nodes.select("node", "first"), "node").groupBy(F.col("first.doc_id").alias("d"), F.col("first.th").alias("t")).agg(F.collect_list(F.struct("node", F.col("first.place").alias("place"), "buckets")).alias("wanted"))
+    nodes = kept(repeated.groupBy("bucket", "node").agg(F.min(where).alias("first"), F.max(doc).alias("last"), F.count("*").alias("times")), "nodes")
+    mixed = kept(nodes.groupBy("bucket").agg(F.ceil(F.count("*") / cell).cast("int").alias("parts"), F.count("*").alias("kinds")).where("kinds > 1"), "mixed")
+    wanted = nodes.join(mixed, "bucket").groupBy(F.col("first.doc_id").alias("d"), F.col("first.th").alias("t")).agg(F.collect_list(F.struct("bucket", "parts", "node", F.col("first.place").alias("place"))).alias("wanted"))
     packed = _packed(docs)
-    # of repeated rows one is enough to read a paragraph
-    sets = _sets(packed.join(wanted, (packed.th == wanted.t) & packed.doc_id.eqNullSafe(wanted.d)))
-    each = sets.select("node", "shingles", F.explode("buckets").alias("b")).select("node", "shingles", "b.bucket", "b.parts")
+    # of repeated rows one is enough to read a segment; the others give the same node again
+    bodies = _bodies(packed.join(wanted, (packed.th == wanted.t) & packed.doc_id.eqNullSafe(wanted.d)), width)
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    dealt = each.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("cell"), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "shingles")
-    tree = components(_links(dealt, cell))
-    classes = nodes.join(tree, nodes.node == tree.node, "left").select(nodes.node, "first", "times", F.coalesce("component", nodes.node).alias("class"))
-    heads = classes.groupBy("class").agg(F.min("first").alias("head"), F.sum("times").alias("size")).where("size > 1")
-    of = classes.join(heads, "class").select(F.col("node").alias("n"), "head", "class")
-    lines = _lines(docs, False)
-    found = lines.join(of, lines.node == of.n).select("doc_id", "th", "place", F.lit(None).cast("int").alias("words"), "class", F.col("head.doc_id").alias("head_doc"), (~where.eqNullSafe(F.col("head"))).alias("goes"))
-    if passages:
-        own = _windows(docs)
-        heads = own.groupBy(F.col("node").alias("class")).agg(F.min(where).alias("head"), F.count("*").alias("times")).where("times > 1")
-        found = found.unionByName(own.join(heads, own.node == F.col("class")).select("doc_id", "th", "place", "words", "class", F.col("head.doc_id").alias("head_doc"), (~where.eqNullSafe(F.col("head"))).alias("goes")))
-    per = found.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_set(F.struct("place", "words", "goes", "head_doc", "class")).alias("found"))
+    dealt = bodies.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("cell"), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "off", "shingles")
+    edges = kept(_links(dealt, cell, width, threshold), "links")
+    tree = components(edges)
+    classes = kept(nodes.join(tree, "node", "left").withColumn("class", F.coalesce("component", "node")), "classes")
+    heads = classes.groupBy("class").agg(F.min("first").alias("head"), F.max("last").alias("last"), F.sum("times").alias("size")).where("size > 1")
+    # the words of the later end of an edge go
+    order = nodes.select("node", "first")
+    ends = edges.join(order.select(F.col("node").alias("u"), F.col("first").alias("f")), "u").join(order.select(F.col("node").alias("v"), F.col("first").alias("g")), "v")
+    later = F.col("f") > F.col("g")
+    lost = ends.select(*[F.when(later, F.col(f"u{x}")).otherwise(F.col(f"v{x}")).alias(n) for x, n in (("", "node"), ("_low", "low"), ("_high", "high"))]).groupBy("node").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    shared = F.struct(F.col("head.x").alias("x"), F.col("head.doc_id").alias("doc_id"), F.col("head.th").alias("th")) != F.col("last")
+    of = kept(classes.drop("last").join(heads.select("class", "head", "last"), "class").join(lost, "node", "left")
+        .select(F.col("node").alias("n"), "class", F.col("first").alias("mine"), F.col("head.doc_id").alias("head_doc"), (F.col("first") == F.col("head")).alias("leads"), shared.alias("shared"), "low", "high"), "found")
+    found = repeated.join(of, repeated.node == of.n).withColumn("here", where.eqNullSafe(F.col("mine")))
+    found = found.select("doc_id", "th", "place", F.when(F.col("here"), F.col("low")).otherwise(F.lit(0)).alias("low"), F.when(F.col("here"), F.col("high")).otherwise(F.shiftrightunsigned("place", 8).bitwiseAND(0xFFFFF) + width - 1).alias("high"), "head_doc", (F.col("here") & F.col("leads")).alias("first"), "shared", "class")
+    per = found.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_set(F.struct("place", "low", "high", "head_doc", "first", "shared", "class")).alias("found"))
     return packed.join(per, (packed.th == per.t) & packed.doc_id.eqNullSafe(per.d), "left").select("doc_id", "th", "packed", "found")
 
 
-def cut(raw: bytes, found: list[dict]) -> list[bytes]:
-    """The lines that are left. The words of windows that go are cut, but not those of their class's first window here;
-    a line that loses all its words goes."""
-    lines = raw.split(b"\n")
-    gone = {f["place"] for f in found if f["words"] is None and f["goes"]}
-    stays = {f["class"]: f for f in found if f["words"] is not None and not f["goes"]}
+def cut(raw: bytes, found: list[dict], width: int = WIDTH) -> tuple[bytes, int, int, int]:
+    """The text without the words that go, the number of words and of those that go, and of runs of these.
+
+    A class's first segment stays whole where it overlaps later ones of its class; a line that loses all its words goes.
+    """
     data = np.frombuffer(raw, np.uint8)
-    start, end = _words(data) if any(f["words"] is not None and f["goes"] for f in found) else (np.zeros(0, np.int64),) * 2
+    start, end = _words(data)
     out = np.zeros(len(start), bool)
+    stays = {}
+    for f in found:
+        if f["first"]:
+            low, run, _ = _unpack(np.int64(f["place"]))
+            stays[f["class"]] = (int(low), int(low + run - 1 + width))
     for f in found:
-        if f["words"] is not None and f["goes"]:
-            a, b = f["place"], f["place"] + f["words"]
+        if f["high"] is not None:
+            low = int(_unpack(np.int64(f["place"]))[0])
+            a, b = low + f["low"], low + f["high"]
             head = stays.get(f["class"])
-            if head and head["place"] + head["words"] > a:
-                a = head["place"] + head["words"]
+            if head and head[0] <= a < head[1]:
+                a = head[1]
             out[a:b] = True
     if not out.any():
-        return [x for i, x in enumerate(lines) if i not in gone]
-    line = np.searchsorted(np.flatnonzero(data == 10), start)
-    begin = np.cumsum([0, *(len(x) + 1 for x in lines)])
-    lost = set(line[out].tolist())
-    kept = []
-    for i, x in enumerate(lines):
-        if i in gone:
+        return raw, len(start), 0, 0
+    breaks = np.flatnonzero(data == 10)
+    line = np.searchsorted(breaks, start)
+    edges = np.concatenate([[-1], breaks, [len(raw)]])
+    kept, done = [], 0
+    for i in np.unique(line[out]).tolist():
+        if i > done:
+            kept.append(raw[edges[done] + 1 : edges[i]])
+        done = i + 1
+        a, b = np.searchsorted(line, [i, i + 1])
+        left = ~out[a:b]
+        if not left.any():
             continue
-        if i in lost:
-            a, b = np.searchsorted(line, [i, i + 1])
-            left = ~out[a:b]
-            if not left.any():
-                continue
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], left, [False]]).astype(np.int8)))
-            low = [int(begin[i]) if k == 0 else int(start[a + k]) for k in edge[::2]]
-            high = [int(begin[i]) + len(x) if k == b - a else int(end[a + k - 1]) for k in edge[1::2]]
-            x = b" ".join(raw[p:q] for p, q in zip(low, high, strict=True))
-        kept.append(x)
-    return kept
-
-
-def _apply(df: DataFrame, made: str, one) -> DataFrame:
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], left, [False]]).astype(np.int8)))
+        low = [int(edges[i]) + 1 if k == 0 else int(start[a + k]) for k in edge[::2]]
+        high = [int(edges[i + 1]) if k == b - a else int(end[a + k - 1]) for k in edge[1::2]]
+        kept.append(b" ".join(raw[p:q] for p, q in zip(low, high, strict=True)))
+    if done < len(edges) - 1:
+        kept.append(raw[edges[done] + 1 :])
+    return b"\n".join(kept), len(start), int(out.sum()), int((np.diff(np.concatenate([[0], out.astype(np.int8)])) == 1).sum())
+
+
+def _apply(df: DataFrame, made: str, one, width: int) -> DataFrame:
     names = [x.strip().split()[0] for x in made.split(",")]
-    kinds = [x.strip().split()[1] for x in made.split(",")]
     arrow = {"long": pa.int64(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
+    kinds = [arrow[x.strip().split()[1]] for x in made.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unpress = zstandard.ZstdDecompressor()
         for batch in batches:
-            if not batch.num_rows:
-                continue
             rows = []
-            for packed, found in zip(batch.column("packed").to_pylist(), batch.column("found").to_pylist(), strict=True):
-                raw = unpress.decompress(packed)
-                rows.append(one(raw.split(b"\n"), cut(raw, found or []), found or []))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, arrow[k]) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", *names])
+            for packed, own in zip(batch.column("packed"), batch.column("found"), strict=True):
+                own = own.as_py() or []
+                rows.append(one(own, *cut(unpress.decompress(packed.as_py()), own, width)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", *names])
 
-    small_batches(df.sparkSession, 256)
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, {made}")
 
 
-def report(docs: DataFrame, **kw) -> DataFrame:
-    """doc_id, n_lines (not blank), n_removed (lines of which nothing is left), kept_sha256 (lines left, joined) and class_doc_ids: the documents
-    that hold the first paragraph of each class that has a paragraph here."""
+def report(docs: DataFrame, width: int = WIDTH, **kw) -> DataFrame:
+    """doc_id, n_words, n_removed (words), n_spans (runs of these), kept_sha256 (of the text left) and class_doc_ids: of each
+    class that several documents share, and that has a paragraph here, the document that holds the first one."""
 
-    def one(lines: list[bytes], kept: list[bytes], found: list[dict]) -> tuple:
-        return sum(bool(x.strip()) for x in lines), len(lines) - len(kept), sha256(b"\n".join(kept)), sorted({f["head_doc"] for f in found if f["head_doc"] is not None})
+    def one(found: list[dict], kept: bytes, words: int, gone: int, spans: int) -> tuple:
+        return words, gone, spans, sha256(kept), sorted({f["head_doc"] for f in found if f["shared"] and f["head_doc"] is not None})
 
-    return _apply(removals(docs, **kw), "n_lines long, n_removed long, kept_sha256 string, class_doc_ids array<long>", one)
+    return _apply(removals(docs, width, **kw), "n_words long, n_removed long, n_spans long, kept_sha256 string, class_doc_ids array<long>", one, width)
 
 
-def deduplicated(docs: DataFrame, **kw) -> DataFrame:
-    """doc_id and the text of the lines that are left."""
-    return _apply(removals(docs, **kw), "text string", lambda lines, kept, found: (b"\n".join(kept).decode("utf-8", "ignore"),))
+def deduplicated(docs: DataFrame, width: int = WIDTH, **kw) -> DataFrame:
+    """doc_id and the text that is left."""
+    return _apply(removals(docs, width, **kw), "text string", lambda found, kept, *_: (kept.decode("utf-8", "ignore"),), width)
