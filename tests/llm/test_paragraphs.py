@@ -165,16 +165,34 @@ def test_segments_depend_on_words_only():
     assert len(set(of(0)) - moved) <= G.BANDS
 
 
-def test_verification_is_exact():
+def test_links_join_what_all_pairs_join():
     rng = np.random.default_rng(5)
-    for _ in range(200):
-        a = rng.integers(0, 400 if rng.random() < 0.7 else 12, rng.integers(12, 20)).astype(np.uint64)
-        b = a.copy()
-        b[rng.integers(0, len(b), rng.integers(0, 4))] = rng.integers(400, 500)
+    size, width = 8, 12
+    for _ in range(60):
+        cell, bodies, off = [], [], []
+        for c in range(rng.integers(1, 5)):
+            base = [rng.integers(0, 400 if rng.random() < 0.7 else 12, 15) for _ in range(3)]
+            for _ in range(rng.integers(1, 12)):
+                x = base[rng.integers(3)].copy()
+                x[rng.integers(0, 15, rng.integers(0, 5))] = rng.integers(400, 500, 1)
+                a = int(rng.integers(0, 8))
+                b = int(rng.integers(8, 16))
+                if b - a >= size and a <= 7 < b:
+                    cell.append(c)
+                    bodies.append(x[a:b].astype(np.uint64))
+                    off.append(7 - a)
+        if not cell:
+            continue
         want = []
-        for k in range(len(a) - 7):
-            x, y = set(a[k : k + 8].tolist()), set(b[k : k + 8].tolist())
-            if len(x & y) >= 0.8 * len(x | y) - 1e-9:
-                want.append(k)
-        got = G._likes(a, b, 8, 0.8)
-        assert got == ((want[0], want[-1]) if want else None)
+        for i in range(len(cell)):
+            for k in range(i):
+                x, y = ({o - off[j]: set(bodies[j][o : o + size].tolist()) for o in range(len(bodies[j]) - size + 1)} for j in (i, k))
+                if cell[i] == cell[k] and any(len(x[p] & y[p]) >= 0.8 * len(x[p] | y[p]) - 1e-9 for p in x if p in y):
+                    want.append((k, i))
+        got = G.join_segments(np.array(cell), bodies, np.array(off), width)
+        assert all(i < k for i, k, *_ in got)
+        trees = lambda e: G._trees(len(cell), np.array([a for a, *_ in e], int), np.array([b for _, b, *_ in e], int)).tolist()
+        full = trees(want)
+        # equal paragraphs at other places are links as well
+        assert all(len({b for a, b in zip(full, trees(got)) if a == c}) == 1 for c in set(full))
+        assert {(i, k) for i, k, *_ in got if i == k} == set()

@@ -8,7 +8,7 @@ shorter stock lines are none of their own.
 *Bands.* Under each of ``BANDS`` seeds the least shingle hash of a paragraph is
 its band. Consecutive paragraphs with one least hash are a segment, of which
 there is about one every 24 words and band. Paragraphs of similarity 0.8 share
-a band with probability 1 - 0.2**BANDS, which is 0.992; equal ones always do.
+a band with probability 1 - 0.2**BANDS, which is 0.96; equal ones always do.
 
 *Verification.* Segments that are equal as a whole are one node. Where a bucket
 holds different segments, an exact join (rarest shingles first, so that only
@@ -34,6 +34,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -42,13 +43,12 @@ from pyspark.sql import functions as F
 
 from .base import sha256, shared_folder, slices, small_batches, with_checkpoints
 from .components import components
-from .simhash import Forest
 from .suffixes import Hashes, _mix, _pack, _packed, _power, _sliding_least, _unpack
 
 SHINGLE = 5
 WIDTH = 50
 THRESHOLD = 0.8
-BANDS = 3
+BANDS = 2
 #: Different segments of one bucket that make a part.
 CELL = 2048
 #: Bytes of a piece of a long text.
@@ -112,17 +112,20 @@ def segments(texts: list[bytes], width: int = WIDTH, bands: int = BANDS) -> tupl
     out = []
     for band in range(bands):
         h = _mix(shingle + np.uint64((band + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        least = _sliding_least(h & ~low_bits | np.arange(len(h), dtype=np.uint64), size)[inside]
-        value, place = least >> np.uint64(32), (least & low_bits).astype(np.int64)
-        # a segment ends with its least hash, its text, or the window in which its least shingle stands
+        # of equal hashes the last counts
+        least = _sliding_least(h & ~low_bits | low_bits - np.arange(len(h), dtype=np.uint64), size)[inside]
+        value, place = least >> np.uint64(32), (low_bits - (least & low_bits)).astype(np.int64)
         new = np.concatenate([[True], (value[1:] != value[:-1]) | (np.diff(inside) != 1) | (text[inside[1:]] != text[inside[:-1]])])
         head = np.flatnonzero(new)
-        run = np.diff(np.append(head, len(inside)))
-        if len(run) and run.max() > size:  # a least hash that comes again and again: cut after each ``size`` paragraphs
-            cuts = -(-run // size)
-            inner = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-            head = np.repeat(head, cuts) + inner * size
-            run = np.minimum(size, np.repeat(run, cuts) - inner * size)
+        rest = np.diff(np.append(head, len(inside)))
+        heads, runs = [], []
+        while len(head):  # again only where a least hash comes back: a segment's paragraphs all hold its least shingle
+            run = np.minimum(rest, place[head] - inside[head] + 1)
+            heads.append(head)
+            runs.append(run)
+            more = rest > run
+            head, rest = (head + run)[more], (rest - run)[more]
+        head, run = np.concatenate(heads), np.concatenate(runs)
         low, off = inside[head], place[head] - inside[head]
         bucket = _mix(h[place[head]] ^ np.uint64(band + 1))
         node = _mix(_contents(word, low, run - 1 + width) ^ _mix(bucket + off.astype(np.uint64)))
@@ -157,8 +160,8 @@ def _segments(docs: DataFrame, width: int, bands: int, piece: int) -> DataFrame:
     return docs.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, bucket long, node long, place long")
 
 
-def _bodies(joined: DataFrame, width: int) -> DataFrame:
-    """(bucket, parts, node, off, shingles) of the wanted segments of documents."""
+def _bodies(joined: DataFrame, width: int, first: str) -> DataFrame:
+    """(bucket, parts, node, off, shingles, first) of the wanted segments of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -170,112 +173,174 @@ def _bodies(joined: DataFrame, width: int) -> DataFrame:
                 start, end = _words(data)
                 shingle = _shingles(Hashes(data).of(start, end))
                 table = pa.RecordBatch.from_struct_array(wanted.values)
-                low, count, off = _unpack(table.column("place").to_numpy())
+                low, count, off = _unpack(table.column("first").field("place").to_numpy())
                 body = pa.array([shingle[a : a + n + width - SHINGLE].tobytes() for a, n in zip(low.tolist(), count.tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([table.column("bucket"), table.column("parts"), table.column("node"), pa.array(off.astype(np.int32)), body], names=["bucket", "parts", "node", "off", "shingles"])
+                yield pa.RecordBatch.from_arrays([table.column("bucket"), table.column("parts"), table.column("node"), pa.array(off.astype(np.int32)), body, table.column("first")], names=["bucket", "parts", "node", "off", "shingles", "first"])
 
-    return joined.select("packed", "wanted").mapInArrow(run, "bucket long, parts int, node long, off int, shingles binary")
+    return joined.select("packed", "wanted").mapInArrow(run, f"bucket long, parts int, node long, off int, shingles binary, first {first}")
 
 
-def _likes(a: np.ndarray, b: np.ndarray, size: int, threshold: float) -> tuple[int, int] | None:
-    """First and last place of paragraphs of ``a`` and ``b`` (aligned) whose sets of shingles reach the threshold."""
-    if len(a) < size or len(b) < size:
-        return None
-    both = np.concatenate([[0], np.cumsum(np.isin(a, b))]), np.concatenate([[0], np.cumsum(np.isin(b, a))])
-    held = np.minimum(both[0][size:] - both[0][:-size], both[1][size:] - both[1][:-size])
+def _trees(n: int, i: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The least member of each node's tree."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[k])
+        new = label.copy()
+        np.minimum.at(new, label[i], low)
+        np.minimum.at(new, label[k], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _alike(a: np.ndarray, b: np.ndarray, both: frozenset, low: int, high: int, size: int, threshold: float, plain: bool) -> tuple[int, int] | None:
+    """First and last of the places ``low`` to ``high`` at which paragraphs of two rows have sets of shingles that reach the threshold.
+
+    ``both``: the shingles that the rows have in common.
+    """
+    a, b = a[low : high + size - 1], b[low : high + size - 1]
+    if plain:
+        # n of ``size`` shingles in common are n / (2 * size - n)
+        need = np.ceil(2 * size * threshold / (1 + threshold) - 1e-9)
+        held = np.concatenate([[0], np.cumsum(a == b)])
+        good = np.flatnonzero(held[size:] - held[:-size] >= need)
+        if len(good):
+            return low + int(good[0]), low + int(good[-1])
+    else:
+        need = 1
+    a, b = a.tolist(), b.tolist()
+    x, y = ([0, *accumulate(e in both for e in p)] for p in (a, b))
     good = []
-    # with repeated shingles a count of places says nothing, so only places without any are given up
-    plain = len(np.unique(a)) == len(a) and len(np.unique(b)) == len(b)
-    for k in np.flatnonzero(held >= (np.ceil(threshold * size - 1e-9) if plain else 1)).tolist():
-        x, y = set(a[k : k + size].tolist()), set(b[k : k + size].tolist())
-        n = len(x & y)
-        if n >= threshold * (len(x) + len(y) - n) - 1e-9:
+    for k in range(len(a) - size + 1):
+        if x[k + size] - x[k] < need or y[k + size] - y[k] < need:
+            continue
+        p, q = set(a[k : k + size]), set(b[k : k + size])
+        n = len(p & q)
+        if n >= threshold * (len(p) + len(q) - n) - 1e-9:
             good.append(k)
-    return (good[0], good[-1]) if good else None
+    return (low + good[0], low + good[-1]) if good else None
 
 
-def join_segments(bodies: list[np.ndarray], off: list[int], side: list[int], width: int = WIDTH, threshold: float = THRESHOLD) -> list[tuple[int, int, int, int]]:
-    """(i, k, low, high): a spanning forest of the pairs that hold like paragraphs at the same distance from the least shingle.
+def join_segments(cell: np.ndarray, bodies: list[np.ndarray], off: np.ndarray, width: int = WIDTH, threshold: float = THRESHOLD) -> list[tuple[int, int, int, int]]:
+    """(i, k, low, high), i < k: links of segments of one cell that hold like paragraphs; cells are in order.
 
-    With two sides only pairs across them are looked at. The words ``low`` to
-    ``high``, counted from the least shingle, match.
+    The words ``low`` to ``high`` of segment k, counted from its least shingle, match words of segment i. Links join
+    all segments of a cell that are linked through others.
     """
-    size = width - SHINGLE + 1
-    sets = [np.unique(b) for b in bodies]
-    value, back, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    edge = np.cumsum([0, *map(len, sets)])
-    two = len(set(side)) > 1
-    index: dict[int, list[int]] = defaultdict(list)
-    label = np.arange(len(bodies))
-    found = []
-    for i in range(len(bodies)):
-        own = back[edge[i] : edge[i + 1]]
-        if len(own) == len(bodies[i]):
-            need = int(np.ceil(threshold * size - 1e-9))
-        else:  # the fewest different shingles of a paragraph
-            need = int(np.ceil(threshold * min(len(set(bodies[i][k : k + size].tolist())) for k in range(len(bodies[i]) - size + 1)) - 1e-9))
-        # shingles of no other segment never match; of the rest, all but ``need`` - 1 hold a match
-        shared = own[often[own] > 1]
-        if len(shared) < need:
-            continue
-        prefix = shared[np.lexsort((shared, often[shared]))][: len(shared) - need + 1].tolist()
+    size, n = width - SHINGLE + 1, len(bodies)
+    length = np.fromiter(map(len, bodies), np.int64, n)
+    left, run = size - 1 - off, length - size + 1
+    # rows are aligned at the least shingle; every paragraph of a segment holds it
+    grid, held = np.zeros((n, 2 * size - 1), np.uint64), np.zeros((n, 2 * size - 1), bool)
+    row = np.repeat(np.arange(n), length)
+    column = left[row] + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    grid[row, column], held[row, column] = np.concatenate(bodies), True
+    number = np.cumsum(np.concatenate([[0], cell[1:] != cell[:-1]]))
+    own = _mix(number.astype(np.uint64) + np.uint64(1))
+
+    # equal paragraphs have equal sums of hashes: each segment is linked to the first that holds one
+    total = np.concatenate([np.zeros((n, 1), np.uint64), np.cumsum(_mix(grid), 1, dtype=np.uint64)], 1)
+    total = total[:, size:] - total[:, :-size]
+    place = np.arange(size)
+    s, k = np.nonzero((place >= left[:, None]) & (place < (left + run)[:, None]))
+    key = _mix(total[s, k] ^ own[s])
+    order = np.argsort(key, kind="stable")
+    s, k, key = s[order], k[order], key[order]
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    head = np.repeat(s[new], np.diff(np.append(new, len(key))))
+    pair, k = (head * n + s)[head != s], k[head != s]
+    order = np.lexsort((k, pair))
+    pair, k = pair[order], k[order]
+    new = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+    last = np.append(new[1:], len(pair))[: len(new)] - 1
+    i, j = pair[new] // n, pair[new] % n
+    found = list(zip(i.tolist(), j.tolist(), (k[new] - size + 1).tolist(), (k[last] - size + 1 + width).tolist(), strict=True))
+    label = _trees(n, i, j)
+
+    # shingles that several trees of a cell hold; a segment that has too few of them in each paragraph is done
+    trees = np.bincount(number, label == np.arange(n))
+    open_ = (trees > 1)[number]
+    at = np.flatnonzero(open_[row])
+    if not len(at):
+        return found
+    key = _mix(grid[row[at], column[at]] ^ own[row[at]])
+    order = np.lexsort((row[at], key))
+    at, key = at[order], key[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    group = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    tree = label[row[at]]
+    shared = (np.minimum.reduceat(tree, first) != np.maximum.reduceat(tree, first))[group]
+    twice = np.zeros(n, bool)
+    twice[row[at][1:][(row[at][1:] == row[at][:-1]) & ~new[1:]]] = True
+    mark = np.zeros(grid.shape, np.int64)
+    mark[row[at[shared]], column[at[shared]]] = 1
+    often = np.zeros(grid.shape, np.int64)
+    often[row[at], column[at]] = np.diff(np.append(first, len(at)))[group]
+    sums = np.concatenate([np.zeros((n, 1), np.int64), np.cumsum(mark, 1)], 1)
+    most = (sums[:, size:] - sums[:, :-size]).max(1)
+    # of any like one, and of one without repeated shingles
+    need, full = (int(np.ceil(x - 1e-9)) for x in (size * threshold, 2 * size * threshold / (1 + threshold)))
+    left_over = np.flatnonzero(open_ & (most >= np.where(twice, 1, need)))
+    sets = {i: frozenset(bodies[i].tolist()) for i in left_over.tolist()}
+    index: dict[tuple[int, int], list[int]] = defaultdict(list)
+    for i in left_over.tolist():
+        # of the shared shingles all but ``need`` - 1 hold one of any like segment
+        values, where = np.unique(grid[i][mark[i] > 0], return_index=True)
+        prefix = values
+        if not twice[i]:
+            prefix = values[np.lexsort((values, often[i][mark[i] > 0][where]))][: len(values) - need + 1]
+        prefix = [(int(number[i]), e) for e in prefix.tolist()]
         near = np.unique(np.array([k for e in prefix for k in index[e]], np.int64))
-        if two and len(near):
-            near = near[np.array([side[k] != side[i] for k in near.tolist()], bool)]
+        near = near[label[near] != label[i]]
         while len(near):
-            near = near[label[near] != label[i]]
-            if not len(near):
-                break
             # one candidate of each tree that is not this one's yet
-            _, first = np.unique(label[near], return_index=True)
-            tried = near[first]
+            tried = near[np.unique(label[near], return_index=True)[1]]
             for k in tried.tolist():
-                if label[k] == label[i]:
+                plain = not (twice[i] or twice[k])
+                if label[k] == label[i] or len(both := sets[i] & sets[k]) < (full if plain else 1):
                     continue
-                shift = min(off[i], off[k])
-                a, b = bodies[i][off[i] - shift :], bodies[k][off[k] - shift :]
-                n = min(len(a), len(b))
-                if like := _likes(a[:n], b[:n], size, threshold):
-                    found.append((i, k, like[0] - shift, like[1] - shift + width))
+                low, high = max(left[i], left[k]), min(left[i] + run[i], left[k] + run[k])
+                if high > low and (like := _alike(grid[i], grid[k], both, int(low), int(high), size, threshold, plain)):
+                    found.append((k, i, like[0] - size + 1, like[1] - size + 1 + width))
                     label[label == label[i]] = label[k]
             near = np.setdiff1d(near, tried, assume_unique=True)
+            near = near[label[near] != label[i]]
         for e in prefix:
             index[e].append(i)
     return found
 
 
 def _links(rows: DataFrame, cell: int, width: int, threshold: float) -> DataFrame:
-    """Edges (u, v, u_low, u_high, v_low, v_high) from (cell, side, node, off, shingles), dealt and sorted by cell."""
+    """Edges (u, v, low, high) from (cell, node, off, shingles, first): words ``low`` to ``high`` of node v match some of u, which is first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
             held.append(batch)
-            if sum(b.num_rows for b in held) >= 2 * cell:
+            size += batch.num_rows
+            if size >= 2 * cell:
                 table = pa.Table.from_batches(held)
                 key = table.column("cell").to_numpy()
                 cut = int(np.searchsorted(key, key[-1]))  # the last cell may go on
                 if cut:
                     yield from cells(table.slice(0, cut))
                     held = table.slice(cut).to_batches()
-        if held:
+                    size -= cut
+        if size:
             yield from cells(pa.Table.from_batches(held))
 
     def cells(table: pa.Table) -> Iterator[pa.RecordBatch]:
         key, node, off = (table.column(c).to_numpy() for c in ("cell", "node", "off"))
-        side, body = table.column("side").to_pylist(), table.column("shingles").to_pylist()
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist() + [len(key)]
-        out = []
-        for a, b in zip(first, first[1:]):
-            if b - a > 1:
-                own = off[a:b].tolist()
-                made = join_segments([np.frombuffer(x, np.uint64) for x in body[a:b]], own, side[a:b], width, threshold)
-                out += [(int(node[a + i]), int(node[a + k]), low + own[i], high + own[i], low + own[k], high + own[k]) for i, k, low, high in made]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["u", "v", "u_low", "u_high", "v_low", "v_high"])
+        made = join_segments(key, [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()], off.astype(np.int64), width, threshold)
+        if made:
+            i, k, low, high = (np.array(x) for x in zip(*made, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[i], node[k], low + off[k], high + off[k])], names=["u", "v", "low", "high"])
 
     small_batches(rows.sparkSession)
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long, u_low long, u_high long, v_low long, v_high long")
+    return rows.repartition("cell").sortWithinPartitions("cell", "first").drop("first").mapInArrow(run, "u long, v long, low long, high long")
 
 
 def removals(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, threshold: float = THRESHOLD, cell: int = CELL, piece: int = PIECE) -> DataFrame:
@@ -296,22 +361,18 @@ def removals(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, threshold:
     where = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th", "place")
     nodes = kept(repeated.groupBy("bucket", "node").agg(F.min(where).alias("first"), F.max(doc).alias("last"), F.count("*").alias("times")), "nodes")
     mixed = kept(nodes.groupBy("bucket").agg(F.ceil(F.count("*") / cell).cast("int").alias("parts"), F.count("*").alias("kinds")).where("kinds > 1"), "mixed")
-    wanted = nodes.join(mixed, "bucket").groupBy(F.col("first.doc_id").alias("d"), F.col("first.th").alias("t")).agg(F.collect_list(F.struct("bucket", "parts", "node", F.col("first.place").alias("place"))).alias("wanted"))
+    wanted = nodes.join(mixed, "bucket").groupBy(F.col("first.doc_id").alias("d"), F.col("first.th").alias("t")).agg(F.collect_list(F.struct("bucket", "parts", "node", "first")).alias("wanted"))
     packed = _packed(docs)
     # of repeated rows one is enough to read a segment; the others give the same node again
-    bodies = _bodies(packed.join(wanted, (packed.th == wanted.t) & packed.doc_id.eqNullSafe(wanted.d)), width)
+    bodies = _bodies(packed.join(wanted, (packed.th == wanted.t) & packed.doc_id.eqNullSafe(wanted.d)), width, nodes.schema["first"].dataType.simpleString())
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     dealt = bodies.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("cell"), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "off", "shingles")
+    dealt = dealt.select(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("cell"), "node", "off", "shingles", "first")
     edges = kept(_links(dealt, cell, width, threshold), "links")
     tree = components(edges)
     classes = kept(nodes.join(tree, "node", "left").withColumn("class", F.coalesce("component", "node")), "classes")
     heads = classes.groupBy("class").agg(F.min("first").alias("head"), F.max("last").alias("last"), F.sum("times").alias("size")).where("size > 1")
-    # the words of the later end of an edge go
-    order = nodes.select("node", "first")
-    ends = edges.join(order.select(F.col("node").alias("u"), F.col("first").alias("f")), "u").join(order.select(F.col("node").alias("v"), F.col("first").alias("g")), "v")
-    later = F.col("f") > F.col("g")
-    lost = ends.select(*[F.when(later, F.col(f"u{x}")).otherwise(F.col(f"v{x}")).alias(n) for x, n in (("", "node"), ("_low", "low"), ("_high", "high"))]).groupBy("node").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    lost = edges.groupBy(F.col("v").alias("node")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
     shared = F.struct(F.col("head.x").alias("x"), F.col("head.doc_id").alias("doc_id"), F.col("head.th").alias("th")) != F.col("last")
     of = kept(classes.drop("last").join(heads.select("class", "head", "last"), "class").join(lost, "node", "left")
         .select(F.col("node").alias("n"), "class", F.col("first").alias("mine"), F.col("head.doc_id").alias("head_doc"), (F.col("first") == F.col("head")).alias("leads"), shared.alias("shared"), "low", "high"), "found")
