@@ -52,7 +52,7 @@ BANDS = 2
 #: Different segments of one bucket that make a part.
 CELL = 2048
 #: Bytes of a piece of a long text.
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 _STEP = 0xD6E8FEB86659FD93
 _SPACE = np.zeros(256, bool)
@@ -169,9 +169,11 @@ def _bodies(joined: DataFrame, width: int, first: str) -> DataFrame:
         unpress = zstandard.ZstdDecompressor()
         for batch in batches:
             for packed, wanted in zip(batch.column("packed"), batch.column("wanted"), strict=True):
-                data = np.frombuffer(unpress.decompress(packed.as_py()).lower(), np.uint8)
-                start, end = _words(data)
-                shingle = _shingles(Hashes(data).of(start, end))
+                made = []
+                for _, part in pieces(unpress.decompress(packed.as_py()), SHINGLE):
+                    data = np.frombuffer(part.lower(), np.uint8)
+                    made.append(_shingles(Hashes(data).of(*_words(data))))
+                shingle = np.concatenate(made)
                 table = pa.RecordBatch.from_struct_array(wanted.values)
                 low, count, off = _unpack(table.column("first").field("place").to_numpy())
                 body = pa.array([shingle[a : a + n + width - SHINGLE].tobytes() for a, n in zip(low.tolist(), count.tolist(), strict=True)], pa.binary())
