@@ -196,11 +196,8 @@ def _trees(n: int, i: np.ndarray, k: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _alike(a: np.ndarray, b: np.ndarray, both: frozenset, low: int, high: int, size: int, threshold: float, plain: bool) -> tuple[int, int] | None:
-    """First and last of the places ``low`` to ``high`` at which paragraphs of two rows have sets of shingles that reach the threshold.
-
-    ``both``: the shingles that the rows have in common.
-    """
+def _alike(a: np.ndarray, b: np.ndarray, low: int, high: int, size: int, threshold: float, plain: bool) -> tuple[int, int] | None:
+    """First and last of the places ``low`` to ``high`` at which paragraphs of two rows have sets of shingles that reach the threshold."""
     a, b = a[low : high + size - 1], b[low : high + size - 1]
     if plain:
         # n of ``size`` shingles in common are n / (2 * size - n)
@@ -212,6 +209,7 @@ def _alike(a: np.ndarray, b: np.ndarray, both: frozenset, low: int, high: int, s
     else:
         need = 1
     a, b = a.tolist(), b.tolist()
+    both = set(a) & set(b)
     x, y = ([0, *accumulate(e in both for e in p)] for p in (a, b))
     good = []
     for k in range(len(a) - size + 1):
@@ -241,10 +239,21 @@ def join_segments(cell: np.ndarray, bodies: list[np.ndarray], off: np.ndarray, w
     number = np.cumsum(np.concatenate([[0], cell[1:] != cell[:-1]]))
     own = _mix(number.astype(np.uint64) + np.uint64(1))
 
-    # equal paragraphs have equal sums of hashes: each segment is linked to the first that holds one
-    total = np.concatenate([np.zeros((n, 1), np.uint64), np.cumsum(_mix(grid), 1, dtype=np.uint64)], 1)
+    # paragraphs with equal sets have equal sums of hashes: each segment is linked to the first that holds one
+    place, hashes, fewest = np.arange(size), _mix(grid), np.full(n, size)
+    total = np.concatenate([np.zeros((n, 1), np.uint64), np.cumsum(hashes, 1, dtype=np.uint64)], 1)
     total = total[:, size:] - total[:, :-size]
-    place = np.arange(size)
+    ordered = np.sort(grid, 1)
+    twice = ((ordered[:, 1:] == ordered[:, :-1]) & (ordered[:, 1:] > 0)).any(1)
+    counted = {}
+    for i in np.flatnonzero(twice).tolist():  # repeated shingles count once
+        back, last = np.full(2 * size - 1, -1), {}
+        for c, e in enumerate(grid[i].tolist()):
+            back[c], last[e] = last.get(e, -1), c
+        every = np.arange(2 * size - 1)
+        counts = counted[i] = (every >= place[:, None]) & (every < place[:, None] + size) & (back < place[:, None])
+        total[i] = np.where(counts, hashes[i], 0).sum(1, dtype=np.uint64)
+        fewest[i] = counts.sum(1)[left[i] : left[i] + run[i]].min()
     s, k = np.nonzero((place >= left[:, None]) & (place < (left + run)[:, None]))
     key = _mix(total[s, k] ^ own[s])
     order = np.argsort(key, kind="stable")
@@ -274,41 +283,65 @@ def join_segments(cell: np.ndarray, bodies: list[np.ndarray], off: np.ndarray, w
     first = np.flatnonzero(new)
     tree = label[row[at]]
     shared = (np.minimum.reduceat(tree, first) != np.maximum.reduceat(tree, first))[group]
-    twice = np.zeros(n, bool)
-    twice[row[at][1:][(row[at][1:] == row[at][:-1]) & ~new[1:]]] = True
     mark = np.zeros(grid.shape, np.int64)
     mark[row[at[shared]], column[at[shared]]] = 1
     often = np.zeros(grid.shape, np.int64)
     often[row[at], column[at]] = np.diff(np.append(first, len(at)))[group]
     sums = np.concatenate([np.zeros((n, 1), np.int64), np.cumsum(mark, 1)], 1)
     most = (sums[:, size:] - sums[:, :-size]).max(1)
-    # of any like one, and of one without repeated shingles
-    need, full = (int(np.ceil(x - 1e-9)) for x in (size * threshold, 2 * size * threshold / (1 + threshold)))
-    left_over = np.flatnonzero(open_ & (most >= np.where(twice, 1, need)))
-    sets = {i: frozenset(bodies[i].tolist()) for i in left_over.tolist()}
+    # how many shingles of a paragraph a like one holds at least: with n of ``size`` in common they are n / (2 * size - n) alike
+    least, full = (int(np.ceil(x - 1e-9)) for x in (size * threshold, 2 * size * threshold / (1 + threshold)))
+    need = np.where(twice, np.ceil(threshold * fewest - 1e-9), np.where(np.isin(number, number[twice]), least, full)).astype(np.int64)
+    left_over = np.flatnonzero(open_ & (most >= need))
+    if not len(left_over):
+        return found
+    _, code = np.unique(grid[left_over], return_inverse=True)
+    code = code.reshape(len(left_over), -1)
+    at = dict(zip(left_over.tolist(), code, strict=True))
+    mine = np.zeros(code.max() + 1, bool)
+    held_by: dict[int, set[int]] = {}
     index: dict[tuple[int, int], list[int]] = defaultdict(list)
     for i in left_over.tolist():
+        own = at[i][held[i]]
         # of the shared shingles all but ``need`` - 1 hold one of any like segment
-        values, where = np.unique(grid[i][mark[i] > 0], return_index=True)
-        prefix = values
-        if not twice[i]:
-            prefix = values[np.lexsort((values, often[i][mark[i] > 0][where]))][: len(values) - need + 1]
+        values, where = np.unique(at[i][mark[i] > 0], return_index=True)
+        prefix = values if twice[i] else values[np.lexsort((values, often[i][mark[i] > 0][where]))][: len(values) - int(need[i]) + 1]
         prefix = [(int(number[i]), e) for e in prefix.tolist()]
         near = np.unique(np.array([k for e in prefix for k in index[e]], np.int64))
-        near = near[label[near] != label[i]]
-        while len(near):
-            # one candidate of each tree that is not this one's yet
-            tried = near[np.unique(label[near], return_index=True)[1]]
-            for k in tried.tolist():
-                plain = not (twice[i] or twice[k])
-                if label[k] == label[i] or len(both := sets[i] & sets[k]) < (full if plain else 1):
+        mine[own] = True
+        if twice[i]:
+            kinds, which = np.unique(at[i], return_inverse=True)
+            has = np.zeros((size, len(kinds)), np.int64)
+            np.add.at(has.T, which, counted[i].T)
+        for tree in np.unique(label[near]).tolist():
+            if label[i] == tree or tree not in held_by:  # this one's tree, or what that was called
+                continue
+            # the whole tree must hold enough of one paragraph here, and this one enough of one there
+            if twice[i]:
+                sums = has @ np.array([e in held_by[tree] for e in kinds.tolist()])
+                if not (sums >= threshold * has.sum(1) - 1e-9)[left[i] : left[i] + run[i]].any():
+                    continue
+            else:
+                sums = [0, *accumulate(e in held_by[tree] for e in own.tolist())]
+                if max(b - a for a, b in zip(sums, sums[size:])) < need[i]:
+                    continue
+            there = near[label[near] == tree]
+            hit = np.zeros((len(there), 2 * size), np.int16)
+            np.cumsum(mine[np.stack([at[k] for k in there.tolist()])] & held[there], 1, out=hit[:, 1:])
+            low, high = np.maximum(left[i], left[there]), np.minimum(left[i] + run[i], left[there] + run[there])
+            enough = (hit[:, size:] - hit[:, :-size] >= need[there, None]) & (place >= low[:, None]) & (place < high[:, None])
+            for t in np.flatnonzero(enough.any(1)).tolist():
+                k = int(there[t])
+                if twice[k] and not (counted[k][low[t] : high[t]] @ mine[at[k]].astype(np.int64) >= threshold * counted[k][low[t] : high[t]].sum(1) - 1e-9).any():
                     continue
-                low, high = max(left[i], left[k]), min(left[i] + run[i], left[k] + run[k])
-                if high > low and (like := _alike(grid[i], grid[k], both, int(low), int(high), size, threshold, plain)):
+                if like := _alike(grid[i], grid[k], int(low[t]), int(high[t]), size, threshold, not (twice[i] or twice[k])):
                     found.append((k, i, like[0] - size + 1, like[1] - size + 1 + width))
-                    label[label == label[i]] = label[k]
-            near = np.setdiff1d(near, tried, assume_unique=True)
-            near = near[label[near] != label[i]]
+                    old = int(label[i])
+                    label[label == old] = tree
+                    held_by[tree] |= held_by.pop(old, set())
+                    break
+        mine[own] = False
+        held_by.setdefault(int(label[i]), set()).update(own.tolist())
         for e in prefix:
             index[e].append(i)
     return found
