@@ -291,7 +291,8 @@ def join_segments(cell: np.ndarray, bodies: list[np.ndarray], off: np.ndarray, w
     most = (sums[:, size:] - sums[:, :-size]).max(1)
     # how many shingles of a paragraph a like one holds at least: with n of ``size`` in common they are n / (2 * size - n) alike
     least, full = (int(np.ceil(x - 1e-9)) for x in (size * threshold, 2 * size * threshold / (1 + threshold)))
-    need = np.where(twice, np.ceil(threshold * fewest - 1e-9), np.where(np.isin(number, number[twice]), least, full)).astype(np.int64)
+    mixed = np.isin(number, number[twice])
+    need = np.where(twice, np.ceil(threshold * fewest - 1e-9), np.where(mixed, least, full)).astype(np.int64)
     left_over = np.flatnonzero(open_ & (most >= need))
     if not len(left_over):
         return found
@@ -299,7 +300,9 @@ def join_segments(cell: np.ndarray, bodies: list[np.ndarray], off: np.ndarray, w
     code = code.reshape(len(left_over), -1)
     at = dict(zip(left_over.tolist(), code, strict=True))
     mine = np.zeros(code.max() + 1, bool)
+    # the shingles of each tree, and in cells with repeated shingles the trees of each shingle
     held_by: dict[int, set[int]] = {}
+    whole: dict[tuple[int, int], set[int]] = defaultdict(set)
     index: dict[tuple[int, int], list[int]] = defaultdict(list)
     for i in left_over.tolist():
         own = at[i][held[i]]
@@ -309,23 +312,27 @@ def join_segments(cell: np.ndarray, bodies: list[np.ndarray], off: np.ndarray, w
         prefix = [(int(number[i]), e) for e in prefix.tolist()]
         near = np.unique(np.array([k for e in prefix for k in index[e]], np.int64))
         mine[own] = True
-        if twice[i]:
+        trees = np.unique(label[near]).tolist()
+        if twice[i] and trees:  # all trees at once: there are few different shingles, so many trees hold some
             kinds, which = np.unique(at[i], return_inverse=True)
-            has = np.zeros((size, len(kinds)), np.int64)
-            np.add.at(has.T, which, counted[i].T)
-        for tree in np.unique(label[near]).tolist():
+            has = np.zeros((len(kinds), size))
+            np.add.at(has, which, counted[i].T)
+            pairs = np.array([(tree, c) for c, e in enumerate(kinds.tolist()) for tree in whole[int(number[i]), e]], np.int64).reshape(-1, 2)
+            trees, which = np.unique(pairs[:, 0], return_inverse=True)
+            holds = np.zeros((len(trees), len(kinds)))
+            holds[which, pairs[:, 1]] = 1
+            trees = trees[(holds @ has >= threshold * has.sum(0) - 1e-9)[:, left[i] : left[i] + run[i]].any(1)].tolist()
+        for tree in trees:
             if label[i] == tree or tree not in held_by:  # this one's tree, or what that was called
                 continue
             # the whole tree must hold enough of one paragraph here, and this one enough of one there
-            if twice[i]:
-                sums = has @ np.array([e in held_by[tree] for e in kinds.tolist()])
-                if not (sums >= threshold * has.sum(1) - 1e-9)[left[i] : left[i] + run[i]].any():
-                    continue
-            else:
+            if not twice[i]:
                 sums = [0, *accumulate(e in held_by[tree] for e in own.tolist())]
                 if max(b - a for a, b in zip(sums, sums[size:])) < need[i]:
                     continue
             there = near[label[near] == tree]
+            if not len(there):
+                continue
             hit = np.zeros((len(there), 2 * size), np.int16)
             np.cumsum(mine[np.stack([at[k] for k in there.tolist()])] & held[there], 1, out=hit[:, 1:])
             low, high = np.maximum(left[i], left[there]), np.minimum(left[i] + run[i], left[there] + run[there])
@@ -338,10 +345,16 @@ def join_segments(cell: np.ndarray, bodies: list[np.ndarray], off: np.ndarray, w
                     found.append((k, i, like[0] - size + 1, like[1] - size + 1 + width))
                     old = int(label[i])
                     label[label == old] = tree
-                    held_by[tree] |= held_by.pop(old, set())
+                    moved = held_by.pop(old, set())
+                    held_by[tree] |= moved
+                    for e in moved if mixed[i] else ():
+                        whole[int(number[i]), e].discard(old)
+                        whole[int(number[i]), e].add(tree)
                     break
         mine[own] = False
         held_by.setdefault(int(label[i]), set()).update(own.tolist())
+        for e in own.tolist() if mixed[i] else ():
+            whole[int(number[i]), e].add(int(label[i]))
         for e in prefix:
             index[e].append(i)
     return found
