@@ -78,3 +78,15 @@ def test_tokens(spark):
         tokens.bucket(F.col("n"), 0)
     # RFC 5869, first test case
     assert tokens.hkdf(bytes([0x0B] * 22), bytes(range(13)), bytes(range(0xF0, 0xFA)), 42).hex().startswith("3cb25f25faacd57a90434f64d0362f2a")
+
+
+def test_digits_move_by_counter_mode(spark):
+    """Known blocks of AES-256 with a key of zeros at counters 0, 1 and 2; places are bytes."""
+    keys = tokens.Keys(bytes(32), b"")
+    stream = bytes.fromhex("dc95c078a2408989ad48a21492842087" + "530f8afbc74536b9a963b4f1c4cb738b" + "cea7403d4d606b6e074ec5d3baf39d18")
+    text = "4111-é-1111 2222" + "77" * 14
+    raw = text.encode()
+    want = bytes(48 + (b - 48 + (b ^ k) % 10) % 10 if 48 <= b < 58 else b for b, k in zip(raw, stream)).decode()
+    got = spark.range(1).select(tokens.shift_digits(F.lit(text), keys), tokens.shift_digits(F.lit(""), keys), tokens.shift_digits(F.lit("5" * 200), keys), tokens.shift_digits(F.lit(None).cast("string"), keys)).first()
+    assert len(raw) <= 48 and got[0] == want and got[1] == "" and got[3] is None
+    assert got[2][:64] != got[2][64:128] and len(got[2]) == 200

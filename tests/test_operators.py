@@ -68,6 +68,11 @@ def test_store(spark, tmp_path):
     told = store.forget(spark.createDataFrame([("[A_1]",), ("[Z_9]",)], "token string"))
     assert {r.token: r.status for r in told.collect()} == {"[A_1]": "DELETED", "[Z_9]": "NOT_FOUND"}
     assert store.sweep(90) == 0 and store.read("vault").count() == 1
+    left = [f for f in (tmp_path / "s" / "vault").rglob("*.parquet")]
+    assert len({f.parent for f in left}) == 1 and spark.read.parquet(str(tmp_path / "s" / "vault" / "*")).select("token").collect() == [("[A_2]",)]
+    spark.createDataFrame([("h3", "[A_3]", "00", None)], vault.VAULT).selectExpr("pii_hash", "token", "encrypted_pii", "timestamp'2001-01-01' AS created_at").write.parquet(str(tmp_path / "old"))
+    store.write("vault", store.read("vault").unionByName(spark.read.parquet(str(tmp_path / "old"))))
+    assert store.sweep(90) == 1 and len({f.parent for f in (tmp_path / "s" / "vault").rglob("*.parquet")}) == 1
     other = vault.Store(spark, str(tmp_path / "t"), KEYS)
     store.migrate(other)
     store.migrate(other)
@@ -197,3 +202,32 @@ def test_prescrub_and_sample(spark):
 def test_long_lines_are_passed_on(spark, tmp_path):
     (tmp_path / "long.txt").write_text("a\n" + "x" * ((1 << 20) + 1) + "\nb\n")
     assert sorted(len(r.text) for r in files.lines(spark, str(tmp_path / "long.txt")).collect()) == [1, 1, (1 << 20) + 1]
+
+
+def test_nested_without_bounds(spark):
+    import base64
+    import json
+
+    def wrapped(text, n):
+        for _ in range(n):
+            text = base64.b64encode(text.encode()).decode()
+        return text
+
+    deep = wrapped("my secret words", 20)
+    objects = "secret"
+    for _ in range(50):
+        objects = json.dumps({"k": objects}) if _ % 5 == 0 else {"k": objects}
+    far = json.loads("[" * 400 + '"a secret"' + "]" * 400)
+    texts = [deep, json.dumps(objects), json.dumps(far), "[" * 200_000, '{"a":' * 3000 + '"secret"' + "}" * 3000]
+    inner = lambda df: df.withColumn("redacted", F.regexp_replace("text", "secret", "***"))
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, v string")
+    got = {r.id: r.redacted for r in nested.redact(df, "v", inner).collect()}
+    assert got[0] == wrapped("my *** words", 20)
+    assert "secret" not in got[1] and "***" in got[1] and "secret" not in got[2] and got[2].count("[") == 400
+    assert got[3] == texts[3] and "secret" not in got[4] and "***" in got[4]
+
+
+def test_restoring_rows_without_a_key(spark):
+    known = vault.sealed(spark.createDataFrame([("h1", "[A_1a]", "x")], "pii_hash string, token string, value string"), KEYS)
+    df = spark.createDataFrame([(None, "see [A_1a]"), (1, "[A_1a] [B_2b]"), (1, "[A_1a]"), (2, "no")], "doc_id int, text string")
+    assert sorted(r.restored for r in vault.rehydrate(df, known, KEYS).collect()) == ["no", "see x", "x", "x [B_2b]"]

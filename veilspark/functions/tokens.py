@@ -71,13 +71,16 @@ def bucket(v: Column, size: int) -> Column:
     return F.when(n.isNull(), v).otherwise(F.concat_ws("-", low.cast("string"), (low + size).cast("string")))
 
 
-def shift_digits(v: Column, keys: Keys, longest: int = 64) -> Column:
-    """Digits moved by a keystream (AES counter mode from zero), other characters kept.
+def shift_digits(v: Column, keys: Keys) -> Column:
+    """Digits moved by a keystream (AES counter mode from zero, as long as the text's bytes), other characters kept.
 
     The offset also depends on the digit itself, so this masks but cannot be undone.
     """
-    blocks = [F.aes_encrypt(F.lit(i.to_bytes(16, "big")), F.lit(keys.cipher), F.lit("ECB"), F.lit("PKCS")) for i in range(-(-longest // 16))]
-    stream = F.hex(F.concat(*[F.substring(b, 1, 16) for b in blocks]))
-    key = lambda i: F.conv(F.substring(stream, (i % longest) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    moved = lambda c, i: (c.cast("int") + F.ascii(c).bitwiseXOR(key(i)) % 10) % 10
-    return F.array_join(F.transform(F.split(v, ""), lambda c, i: F.when(c.rlike("^[0-9]$"), moved(c, i).cast("string")).otherwise(c)), "")
+    pairs = lambda c: F.regexp_extract_all(F.hex(c), F.lit(".."), F.lit(0))
+    own = pairs(F.encode(v, "UTF-8"))
+    block = lambda i: F.substring(F.aes_encrypt(F.unhex(F.lpad(F.hex(i), 32, "0")), F.lit(keys.cipher), F.lit("ECB"), F.lit("PKCS")), 1, 16)
+    stream = F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / 16).cast("int")), lambda i: pairs(block(i))))
+    number = lambda c: F.conv(c, 16, 10).cast("int")
+    moved = lambda b, k: F.hex(((number(b) - 48 + number(b).bitwiseXOR(number(k)) % 10) % 10 + 48).cast("long"))
+    done = F.zip_with(own, F.slice(stream, F.lit(1), F.size(own)), lambda b, k: F.when(b.rlike("^3[0-9]$"), moved(b, k)).otherwise(b))
+    return F.when(v == "", v).otherwise(F.decode(F.unhex(F.array_join(done, "")), "UTF-8"))

@@ -20,7 +20,6 @@ from pyspark.sql import types as T
 
 from ..functions.dialect import java
 
-DEPTH = 8
 _EMBEDDED = re.compile(r"[A-Za-z0-9+/=]{20,}")
 _BAD_ESCAPE = re.compile(r"%(?![0-9A-Fa-f]{2})")
 
@@ -42,35 +41,62 @@ def _json(value) -> str:
     return text.replace("&", "\\u0026").replace("<", "\\u003c").replace(">", "\\u003e").replace("\u2028", "\\u2028").replace("\u2029", "\\u2029")
 
 
-def walk(value, leaf: Callable[[str], str], depth: int = 0):
-    """Rebuilds a value with every leaf text mapped; keys and other kinds stay."""
+def walk(value, leaf: Callable[[str], str]):
+    """Rebuilds a value with every leaf text mapped; keys and other kinds stay.
+
+    Layers are unwrapped however many there are: each is shorter than the one around it. They are kept on a stack of
+    this function's own, so depth is no matter. JSON too deep for the parser is a text like any other.
+    """
+    stack, made = [_walk(value, leaf)], None
+    while stack:
+        try:
+            step = stack[-1].send(made)
+        except StopIteration as done:
+            stack.pop()
+            made = done.value
+        else:
+            stack.append(step)
+            made = None
+    return made
+
+
+def _walk(value, leaf: Callable[[str], str]):
     if isinstance(value, dict):
-        return {k: walk(v, leaf, depth) for k, v in value.items()}
+        out = {}
+        for k, v in value.items():
+            out[k] = yield _walk(v, leaf)
+        return out
     if isinstance(value, list):
-        return [walk(v, leaf, depth) for v in value]
-    if not isinstance(value, str) or depth > DEPTH:
-        return value if not isinstance(value, str) else leaf(value)
+        out = []
+        for v in value:
+            out.append((yield _walk(v, leaf)))
+        return out
+    if not isinstance(value, str):
+        return value
     if len(value.encode()) > 8 and (inner := _decoded(value)) is not None:
-        return base64.b64encode(_inner(inner, leaf, depth + 1).encode()).decode()
+        return base64.b64encode((yield _inner(inner, leaf)).encode()).decode()
     if "%" in value and not _BAD_ESCAPE.search(value) and (plain := unquote_plus(value)) != value:
-        return quote_plus(_inner(plain, leaf, depth + 1), safe="~")
-    return _inner(value, leaf, depth)
+        return quote_plus((yield _inner(plain, leaf)), safe="~")
+    return (yield _inner(value, leaf))
 
 
-def _inner(text: str, leaf: Callable[[str], str], depth: int) -> str:
+def _inner(text: str, leaf: Callable[[str], str]):
     """A text that may be JSON, or may hold Base64 runs."""
     stripped = text.strip()
-    if depth <= DEPTH and stripped[:1] in "{[" and stripped[-1:] in "}]" and stripped:
+    if stripped[:1] in "{[" and stripped[-1:] in "}]" and stripped:
         try:
-            return _json(walk(json.loads(stripped), leaf, depth + 1))
-        except ValueError:
+            value = json.loads(stripped)
+            _json(value)  # what cannot be written again is no JSON here
+        except (ValueError, RecursionError):
             pass
+        else:
+            return _json((yield _walk(value, leaf)))
     # runs stay out of the text's own leaf: what is between them is one leaf each
     pieces, at = [], 0
     for m in _EMBEDDED.finditer(text):
-        inner = _decoded(m[0]) if depth <= DEPTH else None
+        inner = _decoded(m[0])
         if inner:
-            pieces += [leaf(text[at : m.start()]), base64.b64encode(_inner(inner, leaf, depth + 1).encode()).decode()]
+            pieces += [leaf(text[at : m.start()]), base64.b64encode((yield _inner(inner, leaf)).encode()).decode()]
             at = m.end()
     return "".join([*pieces, leaf(text[at:])])
 
@@ -78,7 +104,8 @@ def _inner(text: str, leaf: Callable[[str], str], depth: int) -> str:
 def _top(text: str) -> object:
     try:
         value = json.loads(text)
-    except ValueError:
+        _json(value)
+    except (ValueError, RecursionError):
         return text
     return value if isinstance(value, (dict, list)) else text
 

@@ -9,6 +9,8 @@ versions and a failed job leaves the old one.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,7 +67,7 @@ def reveal(tokens: DataFrame, vault: DataFrame, entities: DataFrame, keys: Keys)
 def rehydrate(df: DataFrame, vault: DataFrame, keys: Keys, text: str = "text", key: str = "doc_id", out: str = "restored", passes: int = 2, entities: DataFrame | None = None) -> DataFrame:
     """Puts values back for tokens; unknown ones stay. Values may hold tokens themselves, hence two passes.
 
-    ``key`` must tell rows apart. Only rows with tokens meet the vault.
+    Rows with one key, or none, share the values of all their tokens. Only rows with tokens meet the vault.
     """
     known = vault.select("token", decrypt(F.col("encrypted_pii"), keys).alias("plain"))
     if entities is not None:
@@ -73,11 +75,11 @@ def rehydrate(df: DataFrame, vault: DataFrame, keys: Keys, text: str = "text", k
     known = known.where("plain IS NOT NULL").groupBy("token").agg(F.min("plain").alias("plain"))
     df = df.withColumn(out, F.col(text))
     for _ in range(passes):
-        marked = df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(out, F.lit(java(spans.TOKEN)), F.lit(0)))).alias("token"))
-        maps = marked.join(known, "token").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "plain"))).alias("_m"))
+        marked = df.select(F.col(key).alias("_k"), F.explode(F.array_distinct(F.regexp_extract_all(out, F.lit(java(spans.TOKEN)), F.lit(0)))).alias("token")).distinct()
+        maps = marked.join(known, "token").groupBy("_k").agg(F.map_from_entries(F.collect_list(F.struct("token", "plain"))).alias("_m"))
         t, m = F.col(out), F.col("_m")
         put = spans.splice(t, spans.tokens(t), lambda s: F.coalesce(F.try_element_at(F.col("_m"), s["value"]), s["value"]))
-        df = df.join(maps, key, "left").withColumn(out, F.when(m.isNull(), t).otherwise(put)).drop("_m")
+        df = df.join(maps, df[key].eqNullSafe(maps["_k"]), "left").withColumn(out, F.when(m.isNull(), t).otherwise(put)).drop("_m", "_k")
     return df
 
 
@@ -128,7 +130,8 @@ def resolve_names(names: DataFrame, entities: DataFrame, variants: DataFrame) ->
 
 
 class Store:
-    """A folder of versioned tables. One writer at a time; readers need no lock."""
+    """A folder of versioned tables. One writer at a time. Readers need no lock; erasing and sweeping remove older versions,
+    so a reader of one of these must read again."""
 
     SCHEMAS = {"vault": VAULT, "entities": ENTITIES, "variants": VARIANTS}
 
@@ -159,6 +162,14 @@ class Store:
         found = self._versions(table)
         df.select(*[f.split()[0] for f in self.SCHEMAS[table].split(", ")]).write.parquet(f"{self.root}/{table}/{found[-1] + 1 if found else 0}")
 
+    def _keep_last(self, table: str) -> None:
+        """Removes all versions but the last: what was erased must not stay on disk."""
+        fs, path = self._fs()
+        last = self._versions(table)[-1]
+        for p in fs.listStatus(path(f"{self.root}/{table}")):
+            if p.getPath().getName() != str(last):
+                fs.delete(p.getPath(), True)
+
     def add_hits(self, hits: DataFrame) -> None:
         """Stores (pii_hash, token, value) rows that are new."""
         vault = self.read("vault")
@@ -177,14 +188,17 @@ class Store:
         gone = vault.count() - purge(vault, cutoff).count()
         if gone:
             self.write("vault", purge(vault, cutoff))
+            self._keep_last("vault")
         return gone
 
     def forget(self, tokens: DataFrame) -> DataFrame:
+        """Erases tokens, in older versions as well; the answers are a table of their own beside the versions."""
         vault = self.read("vault")
-        told = erased(vault, tokens)
-        rows = told.collect() if tokens.count() <= 10_000 else None  # a request's answer, not the vault
+        answers = f"{self.root}/erased/{uuid.uuid4().hex}"
+        erased(vault, tokens).write.parquet(answers)
         self.write("vault", erase(vault, tokens))
-        return self.spark.createDataFrame(rows, told.schema) if rows is not None else told
+        self._keep_last("vault")
+        return self.spark.read.parquet(answers)
 
     def migrate(self, other: Store) -> None:
         """Copies rows that the other store lacks; their time starts anew."""
