@@ -32,6 +32,12 @@ class Gate:
         return reduce(lambda a, b: a & b, tests) if tests else None
 
 
+    def sql(self, low: str, digit: str, quote) -> str:
+        """The same by names of columns (empty: always)."""
+        words = " OR ".join(f"contains({low}, {quote(w)})" for w in self.words)
+        return " AND ".join(x for x in (digit if self.digit else "", f"({words})" if words else "") if x)
+
+
 def lowered(text: Column) -> Column:
     """Lower case as patterns fold it: the long s is an s."""
     return F.replace(F.lower(text), F.lit("ſ"), F.lit("s"))

@@ -99,14 +99,21 @@ def candidates(text: Column, rules=RULES, low: Column | None = None, digit: Colu
 
 
 def _candidates_of(name: str, rules) -> Column:
-    """The expression for a column by name; it is built once per session, since that takes thousands of calls to the JVM."""
+    """``candidates`` for a column by name. Rules are SQL texts, for which the JVM is called once, and only checksums are built call by call."""
     from pyspark import SparkContext
 
     key = (id(SparkContext._active_spark_context), name, tuple(rules))
     if key not in _built:
         if len(_built) > 16:
             _built.clear()
-        _built[key] = candidates(F.col(name), rules, F.col("_low"), F.col("_digit"))
+        parts, plain = [spans.none()], []
+        for r in rules:
+            if r.check:
+                parts += [F.expr(f"concat({', '.join(plain)})")] * bool(plain) + [F.filter(F.expr(spans.rule_sql(name, r)), spans.passes(r))]
+                plain = []
+            else:
+                plain.append(spans.rule_sql(name, r))
+        _built[key] = F.concat(*parts, *[F.expr(f"concat({', '.join(plain)})")] * bool(plain))
     return _built[key]
 
 
