@@ -61,3 +61,10 @@ def test_held_out_accuracy_and_cases(spark):
     assert kept.columns == d.columns and kept.count() == sum(r.predicted for r in rows.values())
     assert {r.score for r in crf.report(d, lab.limit(0)).collect()} == {0.5}
     assert crf.report(d.limit(0), lab).collect() == []
+
+
+def test_equal_texts_get_equal_scores_in_any_batch(spark):
+    docs, labels = corpus(200)
+    chain = crf.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    texts = [t for _, t in docs]
+    assert chain.scores(texts).tolist() == [float(chain.scores([t])[0]) for t in texts]

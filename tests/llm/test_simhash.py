@@ -87,3 +87,17 @@ def test_components_of_chain_and_hub(spark):
     got = {r.node: r.component for r in components(df).collect()}
     assert got == {**{i: 0 for i in range(201)}, **{1000 + i: 1000 for i in range(300)}}
     assert components(df.limit(0)).collect() == []
+
+
+def test_keep_one_tells_texts_under_one_key_apart(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join(str(rng.randrange(10**9)) for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(1, a, 1), (1, b, 2), (1, b, 3), (2, a, 4), (None, c, 5), (None, c, 6), (None, a, 7), (3, None, 8), (4, "", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row int")
+    got = S.keep_one(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted([(0, c), (1, a), (1, b), (3, "")])
+    long = spark.createDataFrame([(1, a + " x" * 200_000), (2, a + " x" * 200_000), (3, c)], "doc_id long, text string")
+    assert {r.doc_id for r in S.keep_one(long).collect()} == {1, 3}
+    assert S.keep_one(df.limit(0)).collect() == []

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,18 +23,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_checkpoints(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make one only where none is named."""
+    """Use the shared checkpoint folder that the cluster names. Only a session in one process may make a local one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veilspark-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="veilspark-checkpoint-"))
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared checkpoint folder, for tables that one query writes and reads again."""
-    import uuid
+    """A new folder under the shared checkpoint folder, for tables that one query writes and reads again.
 
+    The result reads from it when it is run, so it stays until ``clear`` or the end of the driver's process.
+    """
     with_checkpoints(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    folder = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    if not _folders:
+        atexit.register(clear, spark)
+    _folders.append(folder)
+    return folder
+
+
+_folders: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes the folders made so far. Frames that read from them can't be run any more."""
+    sc = spark.sparkContext
+    while _folders and sc._jsc is not None:
+        path = sc._jvm.org.apache.hadoop.fs.Path(_folders.pop())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def kept(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """The frame, written to a shared folder and read again."""
+    df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+    return df.sparkSession.read.parquet(f"{folder}/{name}")
 
 
 def small_batches(spark: SparkSession) -> None:

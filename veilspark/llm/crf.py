@@ -53,7 +53,8 @@ class Chain:
         self.fitted = False
 
     def emission(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) / self.scale) @ self.weight + self.bias
+        # sums by rows do not depend on what else is in the batch
+        return ((x - self.mean) / self.scale * self.weight).sum(1) + self.bias
 
     def marginals(self, emission: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Probability of state 1 at each place of each row, and of each pair of states summed over the row.
@@ -140,7 +141,8 @@ class Chain:
         made = [lines.rows(t) for t in texts]
         starts = np.concatenate([[0], np.cumsum([len(x) for x, _ in made])])
         q = self.qualities(np.concatenate([x for x, _ in made]), np.concatenate([w for _, w in made]), starts)
-        return 1 / (1 + np.exp(-(self.slope * _odds(q) + self.level)))
+        # paddings of a batch may change the last bits: equal texts get equal scores
+        return np.round(1 / (1 + np.exp(-(self.slope * _odds(q) + self.level))), 9)
 
 
 def _odds(p: np.ndarray) -> np.ndarray:

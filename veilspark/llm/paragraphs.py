@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import sha256, shared_folder, slices, small_batches, with_checkpoints
+from .base import kept, sha256, shared_folder, slices, small_batches, with_checkpoints
 from .components import components
 from .suffixes import Hashes, _mix, _pack, _packed, _power, _sliding_least, _unpack
 
@@ -400,15 +400,14 @@ def removals(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, threshold:
     spark = docs.sparkSession
     with_checkpoints(spark)
     folder = shared_folder(spark, "paragraphs")
-    kept = lambda df, name: (df.write.option("compression", "zstd").parquet(f"{folder}/{name}"), spark.read.parquet(f"{folder}/{name}"))[1]
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    rows = kept(_segments(docs, width, bands, piece), "segments")
-    many = kept(rows.groupBy("bucket").count().where("count > 1").select("bucket"), "buckets")
-    repeated = kept(rows.join(many, "bucket", "left_semi"), "repeated")
+    rows = kept(_segments(docs, width, bands, piece), folder, "segments")
+    many = kept(rows.groupBy("bucket").count().where("count > 1").select("bucket"), folder, "buckets")
+    repeated = kept(rows.join(many, "bucket", "left_semi"), folder, "repeated")
     doc = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th")
     where = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th", "place")
-    nodes = kept(repeated.groupBy("bucket", "node").agg(F.min(where).alias("first"), F.max(doc).alias("last"), F.count("*").alias("times")), "nodes")
-    mixed = kept(nodes.groupBy("bucket").agg(F.ceil(F.count("*") / cell).cast("int").alias("parts"), F.count("*").alias("kinds")).where("kinds > 1"), "mixed")
+    nodes = kept(repeated.groupBy("bucket", "node").agg(F.min(where).alias("first"), F.max(doc).alias("last"), F.count("*").alias("times")), folder, "nodes")
+    mixed = kept(nodes.groupBy("bucket").agg(F.ceil(F.count("*") / cell).cast("int").alias("parts"), F.count("*").alias("kinds")).where("kinds > 1"), folder, "mixed")
     wanted = nodes.join(mixed, "bucket").groupBy(F.col("first.doc_id").alias("d"), F.col("first.th").alias("t")).agg(F.collect_list(F.struct("bucket", "parts", "node", "first")).alias("wanted"))
     packed = _packed(docs)
     # of repeated rows one is enough to read a segment; the others give the same node again
@@ -416,14 +415,14 @@ def removals(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, threshold:
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     dealt = bodies.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("cell"), "node", "off", "shingles", "first")
-    edges = kept(_links(dealt, cell, width, threshold), "links")
+    edges = kept(_links(dealt, cell, width, threshold), folder, "links")
     tree = components(edges)
-    classes = kept(nodes.join(tree, "node", "left").withColumn("class", F.coalesce("component", "node")), "classes")
+    classes = kept(nodes.join(tree, "node", "left").withColumn("class", F.coalesce("component", "node")), folder, "classes")
     heads = classes.groupBy("class").agg(F.min("first").alias("head"), F.max("last").alias("last"), F.sum("times").alias("size")).where("size > 1")
     lost = edges.groupBy(F.col("v").alias("node")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
     shared = F.struct(F.col("head.x").alias("x"), F.col("head.doc_id").alias("doc_id"), F.col("head.th").alias("th")) != F.col("last")
     of = kept(classes.drop("last").join(heads.select("class", "head", "last"), "class").join(lost, "node", "left")
-        .select(F.col("node").alias("n"), "class", F.col("first").alias("mine"), F.col("head.doc_id").alias("head_doc"), (F.col("first") == F.col("head")).alias("leads"), shared.alias("shared"), "low", "high"), "found")
+        .select(F.col("node").alias("n"), "class", F.col("first").alias("mine"), F.col("head.doc_id").alias("head_doc"), (F.col("first") == F.col("head")).alias("leads"), shared.alias("shared"), "low", "high"), folder, "found")
     found = repeated.join(of, repeated.node == of.n).withColumn("here", where.eqNullSafe(F.col("mine")))
     found = found.select("doc_id", "th", "place", F.when(F.col("here"), F.col("low")).otherwise(F.lit(0)).alias("low"), F.when(F.col("here"), F.col("high")).otherwise(F.shiftrightunsigned("place", 8).bitwiseAND(0xFFFFF) + width - 1).alias("high"), "head_doc", (F.col("here") & F.col("leads")).alias("first"), "shared", "class")
     per = found.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_set(F.struct("place", "low", "high", "head_doc", "first", "shared", "class")).alias("found"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import slices, small_batches, with_checkpoints
+from .base import kept, shared_folder, slices, small_batches, with_checkpoints
 from .components import components
 
 RADIUS = 4
@@ -243,18 +243,23 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     prints = fingerprints(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).drop("text").checkpoint()
     nodes = prints.groupBy("fingerprint").agg(F.min("key").alias("least"))
     found = components(links(nodes.select("fingerprint"), radius))
-    tree = nodes.join(found, nodes.fingerprint == found.node, "left").select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("tree"))
-    least = tree.groupBy("tree").agg(F.min("least").alias("component_id"))
-    of = tree.join(least, "tree").select("fingerprint", "component_id")
+    folder = shared_folder(df.sparkSession, "simhash")
+    # both sides of each join are shuffled anew, so that a tree or a fingerprint with very many rows can be split
+    tree = kept(nodes.join(found, nodes.fingerprint == found.node, "left").select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("tree")), folder, "trees")
+    least = kept(tree.groupBy("tree").agg(F.min("least").alias("component_id")), folder, "least")
+    of = kept(tree.join(least, "tree").select("fingerprint", "component_id"), folder, "components")
     return prints.join(of, "fingerprint").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``df`` that are the first of their near-duplicate class; of rows with equal keys, one stays.
+    """One row of ``df`` of each near-duplicate class: that with the least key (null last), then the least hash of its text.
 
-    Rows without a key are all kept.
+    Rows equal in key and text count as one, so one of them stays; different texts under one key are told apart.
     """
-    found = near_duplicates(df.where(F.col(key).isNotNull()), key, text, radius)
-    first = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_first")).distinct()
-    own = df.join(first, df[key] == F.col("_first"), "left_semi")
-    return own.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(df.where(F.col(key).isNull()))
+    # none of these is null, so the join and the last step deal rows out alike
+    name = {"_n": F.col(key).isNull(), "_k": F.coalesce(F.col(key).cast("string"), F.lit("")), "_t": F.xxhash64(text)}
+    row = F.struct(F.col(key).isNull().alias("x"), F.col(key).alias("v"), *[c.alias(n) for n, c in name.items()])
+    found = near_duplicates(df.select(row.alias("row"), F.col(text).alias("text")), "row", "text", radius)
+    first = found.where("row = component_id").select("row._n", "row._k", "row._t").distinct()
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[c.alias(n) for n, c in name.items()])
+    return own.join(first, list(name), "left_semi").dropDuplicates(list(name)).select("_row.*")
