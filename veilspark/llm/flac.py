@@ -356,19 +356,19 @@ def _layout(stream: bytes) -> tuple[int, int, bytes, list[tuple[int, int]]]:
     return at, packed & (1 << 36) - 1, info[18:34], points
 
 
-def _bounds(stream: bytes, first: int, frames: int) -> list[int]:
+def _bounds(stream: bytes, first: int, number: int, frames: int, end: int) -> list[int]:
     """Frame starts and the end: sync code and number, the header's checksum, then that of the frame before."""
     out, at = [first], first
-    for i in range(1, frames):
+    for i in range(number + 1, number + frames):
         head = b"\xff\xf8\x24\x02" + _coded(i)
         head += bytes([_crc_of(head, 8)])
-        at = stream.find(head, at + len(head))
+        at = stream.find(head, at + len(head), end)
         while at >= 0 and _crc_of(stream[out[-1] : at - 2], 16) != int.from_bytes(stream[at - 2 : at]):
-            at = stream.find(head, at + 1)
+            at = stream.find(head, at + 1, end)
         if at < 0:
             raise ValueError("a frame is missing")
         out.append(at)
-    return [*out, len(stream)]
+    return [*out, end]
 
 
 def _crc_of(data: bytes, bits: int) -> int:
@@ -388,14 +388,14 @@ _CRC16_LIST = _CRC16.tolist()
 
 
 def decode_streams(streams: list[bytes]) -> list[bytes]:
-    """Payloads of streams; every checksum is verified."""
+    """Payloads of streams, read block by block through their seek points; every checksum is verified."""
     starts, ends, numbers, sizes, sums, base = [], [], [], [], [], 0
     for s in streams:
-        first, samples, md5, _ = _layout(s)
-        edge = _find(s, first, samples // SIZE)
-        starts += [base + e for e in edge[:-1]]
-        ends += [base + e for e in edge[1:]]
-        numbers += range(samples // SIZE)
+        samples, md5, found = _seek(s)
+        for sample, _, edge in found:
+            starts += [base + e for e in edge[:-1]]
+            ends += [base + e for e in edge[1:]]
+            numbers += range(sample // SIZE, sample // SIZE + len(edge) - 1)
         sizes.append(samples)
         sums.append(md5)
         base += len(s)
@@ -416,23 +416,37 @@ def decode_streams(streams: list[bytes]) -> list[bytes]:
     return out
 
 
-def _find(stream: bytes, first: int, frames: int) -> list[int]:
-    """Frame starts by their headers; a header that is not followed by a frame fails its checksum later.
+def _find(stream: bytes, first: int, number: int, frames: int, end: int) -> list[int]:
+    """Starts of the frames from ``number`` on, which lie between two offsets, and the end.
 
-    The quick way takes the first place of each expected header. Where the
-    payload happens to contain such a header, frames fail and the careful way
-    checks the frame before each candidate.
+    A header that is not followed by a frame fails its checksum later. The quick way takes the first place of each
+    expected header. Where the payload happens to contain such a header, frames fail and the careful way checks the
+    frame before each candidate.
     """
     out, at = [first], first
-    for i in range(1, frames):
+    for i in range(number + 1, number + frames):
         head = _head(i)
-        at = stream.find(head, at + 8)
-        if at < 0:
-            return _bounds(stream, first, frames)
-        if stream.find(head, at + 1, at + 2 * SIZE) >= 0:
-            return _bounds(stream, first, frames)
+        at = stream.find(head, at + 8, end)
+        if at < 0 or stream.find(head, at + 1, min(end, at + 2 * SIZE)) >= 0:
+            return _bounds(stream, first, number, frames, end)
         out.append(at)
-    return [*out, len(stream)]
+    return [*out, end]
+
+
+def _seek(stream: bytes) -> tuple[int, bytes, list[tuple[int, int, list[int]]]]:
+    """Samples, MD5 and, for each seek point, its sample, its offset and the starts of the frames up to the next one.
+
+    Each point is gone to by its offset; nothing before it is looked at.
+    """
+    first, samples, md5, points = _layout(stream)
+    out = []
+    for k, (sample, offset) in enumerate(points):
+        stop, end = (points[k + 1][0], first + points[k + 1][1]) if k + 1 < len(points) else (samples, len(stream))
+        number = sample // SIZE
+        if not stream.startswith(_head(number), first + offset):
+            raise ValueError("a seek point does not lead to its frame")
+        out.append((sample, first + offset, _find(stream, first + offset, number, stop // SIZE - number, end)))
+    return samples, md5, out
 
 
 _HEADS: dict[int, bytes] = {}
@@ -452,15 +466,11 @@ def blocks(stream: bytes) -> Iterator[tuple[int, int, bytes]]:
 
     Any block can be read by itself from its stream offset on.
     """
-    first, samples, _, points = _layout(stream)
-    edge = _find(stream, first, samples // SIZE)
     data = np.frombuffer(stream, np.uint8)
-    for k, (sample, offset) in enumerate(points):
-        i, j = sample // SIZE, points[k + 1][0] // SIZE if k + 1 < len(points) else samples // SIZE
-        if edge[i] != first + offset:
-            raise ValueError("a seek point does not match")
-        x = _decode_frames(data[edge[i] : edge[j]], np.array(edge[i:j]) - edge[i], np.array(edge[i + 1 : j + 1]) - edge[i], np.arange(i, j))
-        yield sample, first + offset, x.astype(np.int8).tobytes()
+    for sample, offset, edge in _seek(stream)[2]:
+        at = np.array(edge) - offset
+        x = _decode_frames(data[offset : edge[-1]], at[:-1], at[1:], np.arange(len(at) - 1) + sample // SIZE)
+        yield sample, offset, x.astype(np.int8).tobytes()
 
 
 def encode(df: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
@@ -498,7 +508,7 @@ def feature(payload: bytes) -> str:
 
 def round_trip(df: DataFrame, text: str = "text") -> DataFrame:
     """Stores each text, reads the stored stream back, and returns sizes, digests and a feature of what was read."""
-    made = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    made = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pcm_blocks long"
     names = [x.split()[0] for x in made.split(", ")]
     keep = [f for f in df.schema if f.name not in (text, *names)]
 
@@ -507,7 +517,7 @@ def round_trip(df: DataFrame, text: str = "text") -> DataFrame:
             raw = [(t or "").encode() for t in batch.column(text).to_pylist()]
             media = encode_payloads([pad(r) for r in raw])
             back = decode_streams(media)
-            rows = [(len(r), len(b), sha256(b), zlib.crc32(b[-32:]), len(m), sha256(m), feature(b)) for r, m, b in zip(raw, media, back, strict=True)]
+            rows = [(len(r), len(b), sha256(b), zlib.crc32(b[-32:]), len(m), sha256(m), feature(b), len(_layout(m)[3])) for r, m, b in zip(raw, media, back, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in keep] + [pa.array(c) for c in zip(*rows, strict=True)], names=[f.name for f in keep] + names)
 
     small_batches(df.sparkSession)

@@ -19,7 +19,9 @@
 Keys with more than ``HOT`` different segments (the edges of a passage that
 very many documents share) are dealt by whole windows instead: every window is
 counted by a 128-bit hash, with partial sums before the shuffle, so that no
-task receives such a key.
+task receives such a key. A suffix array needs all suffixes of its key in one
+place, and of one passage in a third of all documents these are unbounded; so
+are the copies of one segment, which are counted by a 128-bit hash as well.
 
 Defined cases: null texts count as empty; matches never cross documents but
 may overlap and lie in one document; repeated rows are repetitions of each
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import sha256, shared_folder, slices, small_batches
+from .base import kept, sha256, shared_folder, slices, small_batches
 
 LENGTH = 200
 GRAM = 40
@@ -164,9 +166,10 @@ def _places(docs: DataFrame, length: int, gram: int, piece: int) -> DataFrame:
 def _rows(pieces: list[bytes], owner: np.ndarray, shift: np.ndarray, th: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     text, low, run, off, key, content = segments(pieces, length, gram)
     low = low + shift[text] if len(text) else low
-    both = _mix(key ^ _mix(content))
-    order = np.argsort(both, kind="stable")
-    new = np.concatenate([[True], both[order][1:] != both[order][:-1]]) if len(order) else np.zeros(0, bool)
+    # 128 bits: that of the anchor and that of the bytes and the anchor's place
+    order = np.lexsort((content, key))
+    a, b = key[order], content[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(order) else np.zeros(0, bool)
     group = np.empty(len(order), np.int64)
     group[order] = np.cumsum(new) - 1
     count = np.bincount(group, minlength=1)
@@ -387,14 +390,13 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     rows = _places(docs, length, gram, piece)
     many = rows.groupBy("key").agg(F.sum(F.when(F.col("n") < 0, 2).otherwise(F.col("n"))).alias("times")).where("times > 1").select("key")
     folder = shared_folder(spark, "suffixes")
-    # of keys that repeat: the places, with the number of different segments of their key
-    rows.join(many, "key").write.option("compression", "zstd").parquet(f"{folder}/repeated")
-    repeated = spark.read.parquet(f"{folder}/repeated")
+    # of keys that repeat: the places. The keys are written first, so that both sides of the join are shuffled and a
+    # key with very many places can be split
+    repeated = kept(rows.join(kept(many, folder, "keys"), "key"), folder, "repeated")
     known = repeated.where("n < 0").select("doc_id", "th", "place")
     segs = repeated.where("n > 0").groupBy("key", "content").agg(F.sum("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th", "place")).alias("first"))
     kinds = segs.groupBy("key").agg(F.count("*").alias("kinds"))
-    segs.join(kinds, "key").select("key", "content", F.least("n", F.lit(2)).cast("int").alias("n"), "kinds", "first.doc_id", "first.th", "first.place").write.option("compression", "zstd").parquet(f"{folder}/segments")
-    segs = spark.read.parquet(f"{folder}/segments")
+    segs = kept(segs.join(kinds, "key").select("key", "content", F.least("n", F.lit(2)).cast("int").alias("n"), "kinds", "first.doc_id", "first.th", "first.place"), folder, "segments")
     # segments that occur more than once are repeated whole, wherever they are
     whole = repeated.where("n > 0").join(segs.where("n > 1").select("key", "content"), ["key", "content"]).select("doc_id", "th", "place")
     packed = _packed(docs)
