@@ -410,7 +410,7 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     found = known.unionByName(whole).unionByName(_match(plain, length))
     if not segs.where(F.col("kinds") > hot).isEmpty():
         each = _windows(bodies(lambda w: w["kinds"] > hot), length)
-        twice = each.groupBy("a", "b").agg(F.sum("n").alias("times")).where("times > 1").select("a", "b")
+        twice = kept(each.groupBy("a", "b").agg(F.sum("n").alias("times")).where("times > 1").select("a", "b"), folder, "windows")
         found = found.unionByName(each.where("n = 1").join(twice, ["a", "b"]).select("doc_id", "th", "place"))
     places = found.groupBy("doc_id", "th").agg(F.collect_set("place").alias("places")).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "places")
     return packed.join(places, (packed.th == places.t) & packed.doc_id.eqNullSafe(places.d), "left").select("doc_id", "th", "packed", "places")
