@@ -4,6 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from veilspark.functions import tokens
 from veilspark.functions.tokens import Keys
 from veilspark.operators import audit, detect, nested, report, risk, vault
 from veilspark.sources import extract, files
@@ -103,6 +104,13 @@ def test_audit_chain(spark):
     rows = audit.append([{"timestamp": str(i), "actor": "a", "action": "x", "resource": "r", "status": "ok"} for i in range(5)], b"k")
     df = spark.createDataFrame([(i, r["timestamp"], r["actor"], r["action"], r["resource"], r["status"], None, r["prev_hash"], r["signature"]) for i, r in enumerate(rows)], audit.SCHEMA)
     assert all(r.linked and r.signed for r in audit.verify(df, b"k").collect())
+    long = audit.append([{"timestamp": str(i), "actor": "a", "action": "x", "resource": "r" * (i % 7), "status": "ok"} for i in range(300)], b"k")
+    log = spark.createDataFrame([(i, r["timestamp"], r["actor"], r["action"], r["resource"], r["status"], None, r["prev_hash"], r["signature"]) for i, r in enumerate(long)], audit.SCHEMA).repartition(7)
+    assert audit.verify(log, b"k").where("linked AND signed").count() == 300
+    assert [r.seq for r in audit.verify(log.where("seq <> 150"), b"k").where("NOT linked").collect()] == [151]
+    log = log.withColumn("all", F.lit(1))
+    one, two = ({r.seq: r.segment for r in audit.segments(log, 1000, by).collect()} for by in (None, "all"))
+    assert one == two and max(one.values()) > 10
     bad = df.withColumn("actor", F.when(F.col("seq") == 2, "b").otherwise(F.col("actor")))
     assert [(r.linked, r.signed) for r in audit.verify(bad, b"k").orderBy("seq").collect()] == [(True, True), (True, True), (True, False), (False, True), (True, True)]
 
@@ -141,7 +149,7 @@ def test_extractors(spark):
 def test_sources(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "a.txt").write_text("one\n\ntwo\n")
-    (tmp_path / "d" / "b.csv").write_text('a,"b,c"\n,\n1,2,3\n')
+    (tmp_path / "d" / "b.csv").write_text('a,"b,c"\n,\n1,2,3\n"two\nlines",x\n"bad"cell\nend')
     (tmp_path / "d" / "c.json").write_text('["x", {"y": 1}]')
     (tmp_path / "d" / "node_modules").mkdir()
     (tmp_path / "d" / "node_modules" / "z.txt").write_text("no")
@@ -150,7 +158,8 @@ def test_sources(spark, tmp_path):
     assert [r.text for r in files.lines(spark, f"{p}/a.txt").collect()] == ["one", "", "two"]
     assert files.lines(spark, f"{p}/a.txt", blank=False).count() == 2
     assert [r.text for r in files.body(spark, f"{p}/a.txt").orderBy("line").collect()] == ["one", "", "two"]
-    assert [r.cells for r in files.ragged_csv(spark, f"{p}/b.csv").collect()] == [["a", "b,c"], ["1", "2", "3"]]
+    assert [r.cells for r in files.ragged_csv(spark, f"{p}/b.csv").collect()] == [["a", "b,c"], ["1", "2", "3"], ["two\nlines", "x"], ["end"]]
+    assert [r.row for r in files.ragged_csv(spark, f"{p}/b.csv").collect()][2] == '"two\nlines",x'
     assert [r.value for r in files.json_values(spark, f"{p}/c.json").orderBy("ord").collect()] == ["x", '{"y":1}']
     assert sorted(r.path.rsplit("/", 1)[1] for r in files.crawl(spark, p).collect()) == ["a.txt", "b.csv", "c.json", "log.json"]
     assert files.audit_log(spark, f"{p}/log.json").count() == 1
@@ -187,7 +196,8 @@ def test_sql_functions(spark):
     sql.register(spark, KEYS)
     r = spark.sql("SELECT entity, value FROM pii_spans('mail a.b@example.com') WHERE entity = 'EMAIL'").collect()
     assert [tuple(x) for x in r] == [("EMAIL", "a.b@example.com")]
-    assert spark.sql("SELECT pii_token('X', 'v') AS t").first().t.startswith("[X_")
+    got = spark.sql("SELECT pii_token('X', v) AS t, v, pii_token('X', NULL) AS n FROM VALUES ('é v'), ('') AS x(v)").select("t", "n", tokens.token(F.lit("X"), F.col("v"), KEYS).alias("w")).collect()
+    assert all(r.t == r.w and r.t.startswith("[X_") and r.n is None for r in got)
 
 
 def test_prescrub_and_sample(spark):

@@ -8,6 +8,8 @@ import hmac
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 FIELDS = ("timestamp", "actor", "action", "resource", "status", "details", "prev_hash")
 SCHEMA = "seq long, timestamp string, actor string, action string, resource string, status string, details string, prev_hash string, signature string"
 GENESIS = "0" * 64
@@ -34,11 +36,18 @@ def append(rows: list[dict], key: bytes, last: str = GENESIS) -> list[dict]:
 def verify(log: DataFrame, key: bytes | None = None, by: str | None = None) -> DataFrame:
     """Adds ``linked`` (the entry names the hash of the one before, or the genesis) and ``signed``.
 
-    Logs are verified in parallel by ``by``; one long log is a single window, so give its segments.
+    Logs are verified in parallel by ``by``; one long log by ranges of ``seq``, each with the last hash of the range before.
     """
-    w = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy("seq")
-    before = F.coalesce(F.lag(F.sha2(payload(), 256)).over(w), F.lit(GENESIS))
-    out = log.withColumn("linked", F.col("prev_hash") == before)
+    out = log.withColumn("_hash", F.sha2(payload(), 256))
+    if by:
+        out = out.withColumn("_carried", F.lit(None).cast("string"))
+        own = Window.partitionBy(by).orderBy("seq")
+    else:
+        out = ranges.ranged(out, "seq")
+        out = ranges.carried(out, F.max_by("_hash", "seq"), F.last)
+        own = Window.partitionBy("_part").orderBy("seq")
+    before = F.coalesce(F.lag("_hash").over(own), "_carried", F.lit(GENESIS))
+    out = out.withColumn("linked", F.col("prev_hash") == before).drop("_hash", "_carried", "_part")
     if key is not None:
         from ..functions.tokens import hmac_sha256
 
@@ -48,9 +57,16 @@ def verify(log: DataFrame, key: bytes | None = None, by: str | None = None) -> D
 
 def segments(log: DataFrame, most: int, by: str | None = None) -> DataFrame:
     """Adds the number of the file that an entry lies in if files are cut at ``most`` bytes."""
-    w = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in log.columns]))) + 1
-    return log.withColumn("segment", F.floor(F.coalesce(F.sum(size).over(w), F.lit(0)) / most).cast("long"))
+    out = log.withColumn("_size", F.octet_length(F.to_json(F.struct(*[F.col(c) for c in log.columns]))) + 1)
+    if by:
+        out = out.withColumn("_carried", F.lit(0))
+        own = Window.partitionBy(by)
+    else:
+        out = ranges.ranged(out, "seq")
+        out = ranges.carried(out, F.sum("_size"), F.sum)
+        own = Window.partitionBy("_part")
+    before = F.coalesce(F.sum("_size").over(own.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.coalesce("_carried", F.lit(0))
+    return out.withColumn("segment", F.floor(before / most).cast("long")).drop("_size", "_carried", "_part")
 
 
 def expire(log: DataFrame, cutoff: Column, at: str = "timestamp") -> DataFrame:

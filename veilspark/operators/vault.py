@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import ranges
 from ..functions import spans
 from ..functions.dialect import java
 from ..functions.tokens import Keys, decrypt, encrypt
@@ -102,8 +103,10 @@ def register(entities: DataFrame, variants: DataFrame, seeds: DataFrame) -> tupl
     have = entities.withColumn("low", F.lower("canonical_name"))
     fresh = first.join(have.select("low"), "low", "left_anti")
     last = have.groupBy("entity_type").agg(F.max(F.regexp_extract("id", r"_([0-9]+)$", 1).cast("long")).alias("last"))
-    number = F.row_number().over(Window.partitionBy("entity_type").orderBy("ord", "low"))
-    made = fresh.withColumn("n", number).join(last, "entity_type", "left").select(
+    # one type may hold nearly all entities: they are numbered by ranges
+    dealt = ranges.carried(ranges.ranged(fresh, "entity_type", "ord", "low"), F.count("*"), F.sum, ("entity_type",))
+    number = F.row_number().over(Window.partitionBy("entity_type", "_part").orderBy("ord", "low")) + F.coalesce("_carried", F.lit(0))
+    made = dealt.withColumn("n", number).join(last, "entity_type", "left").select(
         F.concat_ws("_", "entity_type", (F.col("n") + F.coalesce("last", F.lit(0))).cast("string")).alias("id"), "entity_type", "canonical_name", F.current_timestamp().alias("created_at")
     )
     ids = have.select("low", "id").unionByName(made.select(F.lower("canonical_name").alias("low"), "id")).groupBy("low").agg(F.min("id").alias("id"))

@@ -40,8 +40,29 @@ def json_values(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ragged_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(row text, cells): rows may have any number of cells; rows without a cell that is not blank are left out."""
-    return cells(spark.read.text(path).select(F.col("value").alias("row")))
+    """(row text, cells): rows may have any number of cells, and quoted cells may hold line ends, so a file is read from its start by one
+    task; rows without a cell that is not blank, and malformed ones, are left out."""
+
+    def run(frames):
+        for frame in frames:
+            for text in frame["value"]:
+                lines = io.StringIO(text, newline="").readlines()
+                rows, cut, done = [], [], 0
+                reader = csv.reader(lines, strict=True)
+                while done < len(lines):
+                    try:
+                        own = next(reader, None)
+                    except csv.Error:
+                        own = []
+                    if own is None:
+                        break
+                    if any(c.strip() for c in own):
+                        rows.append("".join(lines[done : reader.line_num]).rstrip("\r\n"))
+                        cut.append(own)
+                    done = reader.line_num
+                yield pd.DataFrame({"row": pd.Series(rows, dtype=object), "cells": pd.Series(cut, dtype=object)})
+
+    return spark.read.text(path, wholetext=True).mapInPandas(run, "row string, cells array<string>")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
