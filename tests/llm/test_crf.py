@@ -68,3 +68,16 @@ def test_equal_texts_get_equal_scores_in_any_batch(spark):
     chain = crf.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"))
     texts = [t for _, t in docs]
     assert chain.scores(texts).tolist() == [float(chain.scores([t])[0]) for t in texts]
+
+
+def test_transitions_count(spark):
+    """Lines of one document speak for each other: without transitions the held-out likelihood is lower."""
+    docs, labels = corpus()
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    chain = crf.fit(d, lab)
+    assert chain.step[0, 0] + chain.step[1, 1] - chain.step[0, 1] - chain.step[1, 0] > 1
+    held = [(t, q) for (i, t), q in ((docs[i], q) for i, q in labels) if zlib.crc32(str(i).encode()) % 5 == 0]
+    emission = [chain.emission(crf.lines.rows(t)[0])[None] for t, _ in held]
+    loss = lambda: -sum(np.log(np.clip(p if q else 1 - p, 1e-9, 1)).sum() for p, (_, q) in zip([chain.marginals(e, np.ones(e.shape, bool))[0] for e in emission], held))
+    with_, chain.step = loss(), np.zeros((2, 2))
+    assert with_ < loss()

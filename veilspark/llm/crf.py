@@ -7,13 +7,13 @@ being good, and the mean of these, weighted by the lines' lengths, gives the
 document's quality, calibrated on the training documents.
 
 Training takes at most ``SAMPLE`` labelled documents of at most
-``SAMPLE_BYTES`` bytes each (those whose ids hash lowest; documented bounds),
-gives each line its document's label, and maximises the penalised conditional
+``SAMPLE_BYTES`` bytes and ``SAMPLE_LINES`` lines each (those whose ids hash
+lowest; documented bounds, which also bound what the driver gathers), gives each line its document's label, and maximises the penalised conditional
 likelihood. Scoring covers every document whole.
 
 Defined cases: null and empty texts are one empty line and get a score; without
 training documents of both labels every score is 0.5 (predicted 1, so that a
-filter keeps everything); equal texts get equal scores; labels that contradict
+filter keeps everything); equal texts get equal scores, whatever is scored beside them; labels that contradict
 each other for one id, and null ids and labels, are not trained on.
 """
 
@@ -31,6 +31,7 @@ from .base import slices, small_batches
 
 SAMPLE = 4000
 SAMPLE_BYTES = 64 << 10
+SAMPLE_LINES = 1024
 FOLDS = 5
 THRESHOLD = 0.3
 #: Lines of a training sequence; longer documents are several.
@@ -102,7 +103,6 @@ class Chain:
             p, pairs = self.marginals(grid, mask)
             off = y - p[row, column]
             grad = np.concatenate([z.T @ off, [off.sum()], (observed - pairs.sum(0)).ravel()]) / len(z) - penalty * value
-            grad[-4:] -= 10 * penalty * value[-4:]  # weak transitions: a line's label comes from its document
             first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
             value = value + rate * (first / (1 - 0.9**i)) / (np.sqrt(second / (1 - 0.999**i)) + 1e-8)
         self.weight, self.bias, self.step = value[:-5], float(value[-5]), value[-4:].reshape(2, 2)
@@ -150,11 +150,11 @@ def _odds(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, sample_lines: int = SAMPLE_LINES) -> Chain:
     """Trains on rows outside fold 0. The label table is sampled first; documents are only scanned for these ids."""
     some = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("key IS NOT NULL AND label IN (0, 1)").where(fold(F.col("key")) != 0)
     picked = some.orderBy(F.xxhash64("key"), "key", "label").limit(sample)  # at most ``sample`` rows: the broadcast is bounded
-    own = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.octet_length("text") <= sample_bytes)
+    own = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.octet_length("text") <= sample_bytes).where(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) < sample_lines)
     rows = own.join(F.broadcast(picked), "key").groupBy("key").agg(F.min("text").alias("text"), F.min("label").alias("label"), F.max("label").alias("other")).where("label = other")
     found = _features(rows).orderBy("key").collect()
     chain = Chain(3 * len(lines.NAMES))
