@@ -11,8 +11,12 @@ Each stage works on all that the one before kept:
 5. ``encoding``: texts become byte-level BPE ids, with the digests of the ids
    and of the bytes that they decode to.
 
-The first four return the columns of ``documents``. Null and empty texts pass
-through all stages as empty ones; an empty table gives an empty result.
+The first four return the columns of ``documents``, further ones included, and
+names of their own never clash with these. The last returns doc_id, those of
+lang, source and n_chars that there are, and what it makes; further columns end
+there. Null and empty texts pass through all stages as empty ones; repeated rows
+are copies, of which one stays; very long texts are worked on whole; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,13 +43,16 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = secrets.redact(docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), "text"))
     changed = F.col("n_secrets") > 0
-    new = {"text": F.when(changed, F.col("redacted")).otherwise(F.col("row.text")), "n_chars": F.when(changed, F.char_length("redacted").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))}
+    new = {"text": F.when(changed, F.col("redacted")).otherwise(F.col("row.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.char_length("redacted").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
     return found.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids="ids")
-    return coded.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    own = [c for c in ("lang", "source", "n_chars") if c in docs.columns]
+    coded = bpe.digests(docs.select("doc_id", "text", *own), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids="ids")
+    return coded.select("doc_id", *own, "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [
