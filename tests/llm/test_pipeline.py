@@ -54,3 +54,22 @@ def test_stages_and_run(spark, tmp_path):
         assert r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
     full = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert full == outs[4]
+
+
+def test_cases(spark, tmp_path):
+    """No n_chars, further columns whose names the stages use themselves, repeated rows, no ids, no rows at all."""
+    texts, labels = corpus(120)
+    rows = [(i, t, f"r{i}", 1.5, 7) for i, t in texts] + [(texts[0][0], texts[0][1], "again", 0.0, 1)] + [(None, "A fine line without an id stands here.", "none", 0.0, 2), (None, "A fine line without an id stands here.", "none", 0.0, 2)]
+    for folder, some in (("full", rows), ("empty", [])):
+        at = f"{tmp_path}/{folder}"
+        spark.createDataFrame(some, "doc_id long, text string, row string, quality_score double, _n int").write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame([(1, "x")], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        docs = spark.read.parquet(f"{at}/documents.parquet")
+        for name, f in corpus_pipeline.STAGES[:-1]:
+            docs = f(spark, docs, at)
+            assert docs.columns == ["doc_id", "text", "row", "quality_score", "_n"]
+        got = corpus_pipeline.run(spark, at)
+        assert got.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+        ids = [r.doc_id for r in got.collect()]
+        assert len(ids) == len(set(ids)) and (folder == "full") == bool(ids)
