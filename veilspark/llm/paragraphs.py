@@ -256,10 +256,10 @@ def join_segments(cell: np.ndarray, bodies: list[np.ndarray], off: np.ndarray, w
         fewest[i] = counts.sum(1)[left[i] : left[i] + run[i]].min()
     s, k = np.nonzero((place >= left[:, None]) & (place < (left + run)[:, None]))
     key = _mix(total[s, k] ^ own[s])
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     s, k, key = s[order], k[order], key[order]
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    head = np.repeat(s[new], np.diff(np.append(new, len(key))))
+    head = np.repeat(np.minimum.reduceat(s, new), np.diff(np.append(new, len(key))))
     pair, k = (head * n + s)[head != s], k[head != s]
     order = np.lexsort((k, pair))
     pair, k = pair[order], k[order]
@@ -276,7 +276,7 @@ def join_segments(cell: np.ndarray, bodies: list[np.ndarray], off: np.ndarray, w
     if not len(at):
         return found
     key = _mix(grid[row[at], column[at]] ^ own[row[at]])
-    order = np.lexsort((row[at], key))
+    order = np.argsort(key)
     at, key = at[order], key[order]
     new = np.concatenate([[True], key[1:] != key[:-1]])
     group = np.cumsum(new) - 1
@@ -434,6 +434,8 @@ def cut(raw: bytes, found: list[dict], width: int = WIDTH) -> tuple[bytes, int,
 
     A class's first segment stays whole where it overlaps later ones of its class; a line that loses all its words goes.
     """
+    if not any(f["high"] is not None for f in found):
+        return raw, len(raw.split()), 0, 0
     data = np.frombuffer(raw, np.uint8)
     start, end = _words(data)
     out = np.zeros(len(start), bool)
