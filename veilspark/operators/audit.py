@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import ranges
@@ -33,6 +34,53 @@ def append(rows: list[dict], key: bytes, last: str = GENESIS) -> list[dict]:
     return out
 
 
+def rotate(rows: list[dict], key: bytes, most: int, path: str, last: str = GENESIS) -> list[list[dict]]:
+    """Chains entries into files. A file that has reached ``most`` bytes (none if 0) is closed by a signed checkpoint, and the next begins with another.
+
+    The chain runs on across files: the checkpoint that goes on names the hash of the one that closed.
+    """
+    out, size = [[]], 0
+
+    def put(row: dict) -> None:
+        nonlocal last, size
+        out[-1] += append([row], key, last)
+        last = hashlib.sha256(payload(out[-1][-1]).encode()).hexdigest()
+        size += len(json.dumps(out[-1][-1], ensure_ascii=False, separators=(",", ":")).encode()) + 1
+
+    for row in rows:
+        put(row)
+        if 0 < most <= size:
+            mark = {"timestamp": row.get("timestamp"), "actor": "system", "status": "ALLOW"}
+            put({**mark, "action": "CHECKPOINT_ROTATE", "resource": path, "details": "rotating audit log"})
+            out.append([])
+            size = 0
+            put({**mark, "action": "CHECKPOINT_CONTINUE", "resource": f"{path}.{len(out) - 1}.archived", "details": "continuing audit log after rotation"})
+    return out
+
+
+def purge_archives(spark: SparkSession, path: str, cutoff_ms: int) -> list[str]:
+    """Deletes closed files of a log that were last written before the cutoff; the open file stays."""
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(f"{path}.*.archived")
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [s.getPath() for s in fs.globStatus(base) or [] if s.getModificationTime() < cutoff_ms]
+    for p in old:
+        fs.delete(p, False)
+    return sorted(p.getName() for p in old)
+
+
+def events(vault: DataFrame, hits: DataFrame, order: str = "ord") -> DataFrame:
+    """(ord, action, result, compliance_mapping) for hits (ord, entity, pii_hash, token): ``matched`` where the value was stored
+    before, by the vault or an earlier hit, otherwise ``vaulted``. A stored value keeps its token."""
+    from .report import regulation
+
+    first = hits.groupBy("pii_hash").agg(F.min_by(F.struct(F.col(order).alias("o"), "token"), order).alias("_first"))
+    known = first.join(vault.select("pii_hash", F.col("token").alias("_kept")), "pii_hash", "left")
+    done = hits.join(known, "pii_hash", "left")
+    new = F.col("_kept").isNull() & (F.col(order) == F.col("_first.o"))
+    return done.select(order, F.when(new, "vaulted").otherwise("matched").alias("action"), F.coalesce("_kept", "_first.token").alias("result"), regulation(F.col("entity")).alias("compliance_mapping"))
+
+
 def verify(log: DataFrame, key: bytes | None = None, by: str | None = None) -> DataFrame:
     """Adds ``linked`` (the entry names the hash of the one before, or the genesis) and ``signed``.
 

@@ -66,6 +66,8 @@ BLOCKED_LABELS = (
 )
 EMBEDDED_BASE64 = r"[A-Za-z0-9+/=]{20,}"
 
+ANSWERS = "map<string,array<string>>"
+
 #: A model: texts to, for each, labels with the values found.
 Scanner = Callable[[list[str]], list[dict[str, list[str]]]]
 
@@ -73,17 +75,23 @@ Scanner = Callable[[list[str]], list[dict[str, list[str]]]]
 @dataclass(frozen=True)
 class Config:
     """``dictionary``: (entity, term) in order. ``entities``: (token id, name) pairs of the registry in order.
-    ``scanner``: a named-entity model; ``degrade``: go on without it if it fails."""
+    ``scanner``: a named-entity model, unless ``scanners`` has one for the ``domain``; ``degrade``: go on without it if it fails."""
 
     keys: Keys
     rules: tuple[Rule, ...] = tuple(RULES)
     dictionary: tuple[tuple[str, str], ...] = ()
     entities: tuple[tuple[str, str], ...] = ()
     scanner: Scanner | None = None
+    scanners: dict[str, Scanner] = field(default_factory=dict)
+    domain: str = ""
     degrade: bool = False
     structural: bool = True
     aliases: dict[str, str] = field(default_factory=lambda: dict(ALIASES))
 
+    @property
+    def active(self) -> Scanner | None:
+        return self.scanners.get(self.domain, self.scanner) if self.domain not in ("", "standard") else self.scanner
+
 
 # ---------------------------------------------------------------- scanning
 
@@ -289,23 +297,24 @@ def blocked(item: Column) -> Column:
 
 
 def ner_tier(df: DataFrame, cfg: Config, prescan: str | None = None) -> DataFrame:
-    """Values that a model finds in the text, tokens blanked; or those of a map column of the whole record."""
-    if prescan is None and cfg.scanner is None:
+    """Values that a model finds in the text, tokens blanked; or those of a map column of the whole record, where it is not null."""
+    if prescan is None and cfg.active is None:
         return df
-    found = F.col(prescan) if prescan else None
-    if found is None:
+    found = F.col(prescan) if prescan else F.lit(None).cast(ANSWERS)
+    if cfg.active is not None:
         blank = F.regexp_replace("_t", java(spans.TOKEN), " ")
-        ask = (F.octet_length(F.btrim(blank)) > 15) & ~spans.fully_tokenised(F.col("_t"))
-        df = df.withColumn("_n", model(cfg.scanner, cfg.degrade)(F.when(ask, blank)))
-        found = F.col("_n")
+        ask = found.isNull() & (F.octet_length(F.btrim(blank)) > 15) & ~spans.fully_tokenised(F.col("_t"))
+        df = df.withColumn("_n", model(cfg.active, cfg.degrade)(F.when(ask, blank)))
+        found = F.coalesce(found, "_n")
     pairs = F.flatten(F.transform(F.array_sort(F.map_entries(found)), lambda e: F.transform(e["value"], lambda v: F.struct(label(e["key"]).alias("entity"), v.alias("term")))))
     wanted = F.coalesce(F.filter(pairs, lambda w: (F.octet_length(w["term"]) >= 3) & ~blocked(w["term"])), F.array().cast("array<struct<entity:string,term:string>>"))
     return _literals(df, wanted, cfg.keys, "model").drop("_n")
 
 
 def model(scanner: Scanner, degrade: bool = False):
-    """A scanner as a column function from text to a map of labels; null texts are not asked about."""
-    @F.pandas_udf("map<string,array<string>>")
+    """A scanner as a column function from text to a map of labels; null for null texts, which are not asked about, and for failures gone on from."""
+
+    @F.pandas_udf(ANSWERS)
     def ask(texts: pd.Series) -> pd.Series:
         asked = texts[texts.notna()]
         try:
@@ -313,15 +322,37 @@ def model(scanner: Scanner, degrade: bool = False):
         except Exception:
             if not degrade:
                 raise
-            answers = [{} for _ in asked]
-        out = pd.Series([{}] * len(texts), index=texts.index, dtype=object)
+            answers = [None for _ in asked]
+        out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
         for i, a in zip(asked.index, answers, strict=True):
-            out[i] = {k: list(dict.fromkeys(v)) for k, v in a.items()}
+            out[i] = a if a is None else {k: list(dict.fromkeys(v)) for k, v in a.items()}
         return out
 
     return ask.asNondeterministic()
 
 
+def answered(content: Column) -> Column:
+    """The map of labels that a chat model's answer holds between its first ``[`` and last ``]``; values of fewer than three bytes go.
+    Null where that is no array of entities."""
+    array = F.regexp_extract(content, r"(?s)\[.*\]", 0)
+    found = F.from_json(F.when(array != "", array).otherwise(F.btrim(content)), "array<struct<entity_type:string,value:string>>", {"mode": "PERMISSIVE"})
+    kept = F.filter(F.transform(found, lambda e: F.struct(F.coalesce(e["entity_type"], F.lit("")).alias("k"), F.btrim(e["value"]).alias("v"))), lambda e: F.octet_length(e["v"]) > 2)
+    kinds = F.array_distinct(F.transform(kept, lambda e: e["k"]))
+    of = lambda k: F.transform(F.filter(kept, lambda e: e["k"] == k), lambda e: e["v"])
+    return F.map_from_arrays(kinds, F.transform(kinds, of))
+
+
+def redact_records(df: DataFrame, columns: list[str], cfg: Config) -> DataFrame:
+    """Redacts columns of a record in place, with ``<column>_hits`` besides. A model is asked once for a record of over 50 bytes
+    that is not all tokens, and its answer serves every column; otherwise, or if that fails, columns are asked about one by one."""
+    if cfg.active is not None:
+        whole = F.to_json(F.struct(*columns))
+        df = df.withColumn("_record", model(cfg.active, cfg.degrade)(F.when((F.octet_length(whole) > 50) & ~spans.fully_tokenised(whole), whole)))
+    for c in columns:
+        df = redact(df, cfg, c, c, f"{c}_hits", None if cfg.active is None else "_record")
+    return df.drop("_record")
+
+
 def boundary_tier(df: DataFrame) -> DataFrame:
     """Up to three characters glued to a token are the rest of a word and go."""
     mark, glue = r"\[[A-Za-z_]+_[0-9a-f]+\]", r"""[^\t\n\f\r \[\]"'{}(),.:;]{1,3}"""

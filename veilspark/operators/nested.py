@@ -110,46 +110,72 @@ def _top(text: str) -> object:
     return value if isinstance(value, (dict, list)) else text
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def leaves(texts: pd.Series) -> pd.Series:
+#: A string of a JSON text, with the colon that makes it a key; or space between tokens.
+_SPELT = re.compile(r'("(?:[^"\\]|\\.)*")(\s*:)?|\s+', re.DOTALL)
+
+
+def mapped(text: str, leaf: Callable[[str], str], spelt: bool = False) -> str:
+    """A value with every leaf text mapped. JSON is written anew with sorted keys, or, ``spelt``, with its keys in their order
+    (repeated ones too) and its numbers as they were written; JSON texts within its strings are sorted either way."""
+    top = _top(text)
+    if not spelt or isinstance(top, str):
+        made = walk(top, leaf)
+        return made if isinstance(made, str) else _json(made)
+
+    def one(m: re.Match) -> str:
+        if m[1] is None:
+            return ""
+        value = json.loads(m[1], strict=False)
+        return _json(value) + ":" if m[2] else _json(walk(value, leaf))
+
+    return _SPELT.sub(one, text)
+
+
+def leaves(spelt: bool = False):
     """All leaf texts of values."""
 
-    def one(t):
-        found: list[str] = []
-        if t is not None:
-            walk(_top(t), lambda s: found.append(s) or s)
-        return found
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t):
+            found: list[str] = []
+            if t is not None:
+                mapped(t, lambda s: found.append(s) or s, spelt)
+            return found
+
+        return texts.map(one, na_action=None)
 
-    return texts.map(one, na_action=None)
+    return run
 
 
-@F.pandas_udf(T.StringType())
-def rebuilt(texts: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
+def rebuilt(spelt: bool = False):
     """Values with leaves replaced."""
 
     def one(t, a, b):
         if t is None:
             return None
         known = dict(zip(a if a is not None else (), b if b is not None else (), strict=True))
-        top = _top(t)
-        made = walk(top, lambda s: known.get(s, s))
-        return made if isinstance(made, str) else _json(made)
+        return mapped(t, lambda s: known.get(s, s), spelt)
+
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
+        return pd.Series([one(t, a, b) for t, a, b in zip(texts, old, new, strict=True)], dtype=object)
 
-    return pd.Series([one(t, a, b) for t, a, b in zip(texts, old, new, strict=True)], dtype=object)
+    return run
 
 
-def redact(df: DataFrame, text: str, inner: Callable[[DataFrame], DataFrame], out: str = "redacted") -> DataFrame:
+def redact(df: DataFrame, text: str, inner: Callable[[DataFrame], DataFrame], out: str = "redacted", spelt: bool = False) -> DataFrame:
     """Redacts the leaves of values. ``inner`` maps a frame with a column ``text`` to one with ``redacted`` besides.
+    ``spelt`` keeps the order of keys and the spelling of numbers.
 
     Leaves that repeat are redacted once; the result is joined back by the value's digest.
     """
     df = df.withColumn("_k", F.sha2(F.coalesce(text, F.lit("")), 256))
     values = df.select("_k", F.col(text).alias("_v")).where("_v IS NOT NULL").dropDuplicates(["_k"])
-    parts = values.select("_k", F.explode(F.array_distinct(leaves("_v"))).alias("text"))
+    parts = values.select("_k", F.explode(F.array_distinct(leaves(spelt)("_v"))).alias("text"))
     done = inner(parts.select("text").distinct()).select("text", "redacted")
     maps = parts.join(done, "text").groupBy("_k").agg(F.collect_list(F.struct("text", "redacted")).alias("_p"))
     pairs = F.filter("_p", lambda p: ~p["text"].eqNullSafe(p["redacted"]))
-    return df.join(maps, "_k", "left").withColumn(out, F.when(F.coalesce(F.size(pairs), F.lit(0)) <= 0, F.col(text)).otherwise(rebuilt(text, F.transform(pairs, lambda p: p["text"]), F.transform(pairs, lambda p: p["redacted"])))).drop("_k", "_p")
+    return df.join(maps, "_k", "left").withColumn(out, F.when(F.coalesce(F.size(pairs), F.lit(0)) <= 0, F.col(text)).otherwise(rebuilt(spelt)(text, F.transform(pairs, lambda p: p["text"]), F.transform(pairs, lambda p: p["redacted"])))).drop("_k", "_p")
 
 
 def strip_html(c: Column) -> Column:

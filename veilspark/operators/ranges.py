@@ -2,18 +2,39 @@
 
 Rows are dealt by ranges of their order into a fixed number of parts. Values
 run within each part; what the parts before add is known from one row a part.
+
+The ranges follow from the rows alone (those of least hash are the sample), so
+every use of them, in any branch of a plan and any attempt of a task, agrees.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of the sample for each part.
+SAMPLE = 20
+
 
 def ranged(df: DataFrame, *order: str) -> DataFrame:
-    """Adds ``_part``: the number of the range of ``order`` that a row lies in. The number of parts is fixed, so that it is the same at each use."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    """Adds ``_part``: the number of the range of ``order`` that a row lies in; missing values come first.
+
+    There are as many parts as shuffle partitions, two at least. Equal rows share a part. The order must be the same
+    whenever it is computed.
+    """
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    width = math.isqrt(parts) + 1
+    sample = df.select(F.struct(*order).alias("k")).orderBy(F.xxhash64("k"), "k").limit(SAMPLE * parts).agg(F.sort_array(F.collect_list("k")).alias("s"))
+    ends = F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: F.get("s", F.floor(i * F.size("s") / parts).cast("int")))
+    # in groups, so that a row is compared with the first of each and then with one group
+    groups = F.transform(F.sequence(F.lit(0), F.lit((parts - 2) // width)), lambda j: F.slice("e", j * width + 1, F.lit(width)))
+    bounds = sample.select(ends.alias("e")).select(groups.alias("g")).scalar()
+    key = F.struct(*order)
+    out = df.withColumn("_bounds", bounds).withColumn("_group", F.size(F.filter("_bounds", lambda g: F.get(g, F.lit(0)) <= key)))
+    within = F.size(F.filter(F.get("_bounds", F.col("_group") - 1), lambda b: b <= key))
+    return out.withColumn("_part", F.when(F.col("_group") > 0, (F.col("_group") - 1) * width + within).otherwise(0)).drop("_bounds", "_group")
 
 
 def carried(df: DataFrame, each: Column, over, by: tuple[str, ...] = ()) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 # Entities counted as first tier; regulations of entities.
 TIER1 = ("EMAIL", "PHONE", "URL", "ADDRESS", "PERSON_FOUNDER")
 REGULATIONS = {
@@ -96,13 +101,14 @@ def markdown(report: dict, title: str = "Dataset risk report") -> str:
 def decide(hits: DataFrame, policies: DataFrame, key: str) -> DataFrame:
     """(key, blocked, policy_name, blocked_entity): the first hit, and for it the first blocking policy, that match.
 
-    ``hits``: key, pos, entity, confidence. ``policies``: ord, name, entities, min_confidence, action; a policy set is
-    configuration of a few rows.
+    ``hits``: key, pos, entity, confidence. ``policies``: ord, name, entities, min_confidence, action. Hits and policies
+    meet on the entity or on ``*``, by an equality, so a set of policies may be of any size.
     """
-    rules = policies.where("action = 'block'").select(F.col("ord"), "name", "min_confidence", F.transform("entities", lambda e: F.upper(e)).alias("entities"))
-    sure = (F.col("confidence") >= F.col("min_confidence")) & (F.array_contains("entities", "*") | F.array_contains("entities", F.upper("entity")))
-    first = hits.join(F.broadcast(rules), sure).groupBy(key).agg(F.min_by(F.struct("name", "entity"), F.struct("pos", "ord")).alias("f"))
-    return hits.select(key).distinct().join(first, key, "left").select(key, F.col("f").isNotNull().alias("blocked"), F.col("f.name").alias("policy_name"), F.col("f.entity").alias("blocked_entity"))
+    rules = policies.where("action = 'block'").select("ord", "name", "min_confidence", F.explode(F.transform("entities", lambda e: F.upper(e))).alias("_rule"))
+    asked = hits.withColumn("_asked", F.explode(F.array(F.upper("entity"), F.lit("*"))))
+    met = asked.join(rules, (F.col("_asked") == F.col("_rule")) & (F.col("confidence") >= F.col("min_confidence")), "left")
+    first = F.min_by(F.struct("name", "entity"), F.when(F.col("_rule").isNotNull(), F.struct("pos", "ord")))
+    return met.groupBy(key).agg(first.alias("f")).select(key, F.col("f").isNotNull().alias("blocked"), F.col("f.name").alias("policy_name"), F.col("f.entity").alias("blocked_entity"))
 
 
 def allowed_model(models: Column, model: Column) -> Column:
@@ -151,6 +157,32 @@ def signed(body: Column, timestamp: Column, signature: Column, key: bytes, now:
     return (signature == want) & (F.abs(now - timestamp) <= window)
 
 
+ENVELOPE = "type string, challenge string, event struct<type string, text string, user string, channel string, ts string, bot_id string>"
+
+
+def messages(df: DataFrame, body: str = "body") -> DataFrame:
+    """Adds channel, user, ts and text of event envelopes that hold a person's message; bots, other events, empty texts and broken bodies go."""
+    e = F.col("_e.event")
+    people = (F.col("_e.type") == "event_callback") & (e["type"] == "message") & (F.coalesce(e["bot_id"], F.lit("")) == "") & (F.coalesce(e["text"], F.lit("")) != "")
+    return df.withColumn("_e", F.from_json(body, ENVELOPE)).where(people).withColumns({c: e[c] for c in ("channel", "user", "ts", "text")}).drop("_e")
+
+
+def challenges(df: DataFrame, body: str = "body") -> DataFrame:
+    """What to answer to envelopes that verify an address."""
+    return df.withColumn("_e", F.from_json(body, ENVELOPE)).where("_e.type = 'url_verification'").withColumn("challenge", F.col("_e.challenge")).drop("_e")
+
+
+def evidence(vault: DataFrame, policies: DataFrame, log: DataFrame, tiers: dict[str, bool], version: str, order: str = "timestamp", n: int = 10) -> DataFrame:
+    """One row: what is stored, the policies in force, the tiers that run and the last entries of the log, oldest first."""
+    last = tail(log, n, order).agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in log.columns if c != order]))).alias("t"))
+    rules = policies.agg(F.array_sort(F.collect_list(F.struct("ord", *[c for c in policies.columns if c != "ord"]))).alias("p"))
+    return vault.agg(F.count("*").alias("vault_entries")).select(
+        F.lit("1").alias("schema_version"), F.current_timestamp().alias("generated_at"), F.lit(version).alias("engine_version"), "vault_entries",
+        F.size(rules.scalar()).alias("policies_active"), rules.scalar().alias("policy_snapshot"),
+        F.struct(*[F.lit(v).alias(k) for k, v in tiers.items()]).alias("tiers_active"), last.scalar().alias("audit_log_tail"),
+    )
+
+
 def report_id(c: Column) -> Column:
     return c.rlike(r"^[A-F0-9]+\z")
 
@@ -165,15 +197,34 @@ def overlaps(truth: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
     return t.join(p, [key, "entity"]).where("t_start < p_end AND p_start < t_end")
 
 
+def met(own: DataFrame, other: DataFrame, by: list[str]) -> DataFrame:
+    """(entity, hit): whether one of the other spans overlaps a span, within equal ``by``.
+
+    No pairs are made: in order of place, the farthest end of the spans that begin before a span's end tells. Rows are
+    dealt by ranges of that order, so one text may hold very many spans. Spans without a value in ``by`` meet none.
+    """
+    keys = list(dict.fromkeys([*by, "entity"]))
+    mine = own.select(*keys, F.col("start").alias("_s"), F.col("end").alias("_at"), F.lit(None).cast("long").alias("_far"), F.lit(0).alias("_kind"))
+    theirs = other.select(*keys, F.lit(None).cast("long").alias("_s"), F.col("start").alias("_at"), F.col("end").cast("long").alias("_far"), F.lit(1).alias("_kind"))
+    rows = ranges.carried(ranges.ranged(mine.unionByName(theirs), *by, "_at", "_kind"), F.max("_far"), F.max, tuple(by))
+    far = F.max("_far").over(Window.partitionBy(*by, "_part").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0))
+    known = reduce(and_, [F.col(c).isNotNull() for c in by])
+    return rows.withColumn("_far", F.greatest(far, "_carried")).where("_kind = 0").select("entity", (known & F.coalesce(F.col("_far") > F.col("_s"), F.lit(False))).alias("hit"))
+
+
+def _counted(truth: DataFrame, predicted: DataFrame) -> DataFrame:
+    both = truth.withColumn("true", F.lit(True)).unionByName(predicted.withColumn("true", F.lit(False)))
+    return both.rollup("entity").agg(F.count_if(F.col("true") & F.col("hit")).alias("tp"), F.count_if(F.col("true") & ~F.col("hit")).alias("fn"), F.count_if(~F.col("true") & ~F.col("hit")).alias("fp"))
+
+
 def confusion(truth: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
     """tp, fn, fp by type and, under null, overall. A prediction may serve several true spans."""
-    both = overlaps(truth, predicted, key)
-    t, p = ["entity", key, "t_start", "t_end"], ["entity", key, "p_start", "p_end"]
-    hit = both.groupBy(*t).agg(F.count("*").alias("n"))
-    used = both.groupBy(*p).agg(F.count("*").alias("n"))
-    true_ = truth.select("entity", key, F.col("start").alias("t_start"), F.col("end").alias("t_end")).join(hit, t, "left").select("entity", F.col("n").isNotNull().alias("hit"), F.lit(True).alias("true"))
-    pred = predicted.select("entity", key, F.col("start").alias("p_start"), F.col("end").alias("p_end")).join(used, p, "left").select("entity", F.col("n").isNotNull().alias("hit"), F.lit(False).alias("true"))
-    return true_.unionByName(pred).rollup("entity").agg(F.count_if(F.col("true") & F.col("hit")).alias("tp"), F.count_if(F.col("true") & ~F.col("hit")).alias("fn"), F.count_if(~F.col("true") & ~F.col("hit")).alias("fp"))
+    return _counted(met(truth, predicted, [key, "entity"]), met(predicted, truth, [key, "entity"]))
+
+
+def lenient_confusion(truth: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
+    """As ``confusion``, but a prediction is false only if it overlaps no true span of any type."""
+    return _counted(met(truth, predicted, [key, "entity"]), met(predicted, truth, [key]))
 
 
 def accuracy(counts: DataFrame) -> DataFrame:
@@ -192,8 +243,23 @@ def remaining_risk(counts: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 
 def latencies(df: DataFrame, ms: str = "ms") -> DataFrame:
-    p = [F.percentile(ms, q).alias(f"p{round(q * 100)}") for q in (0.5, 0.9, 0.95, 0.99)]
-    return df.agg(F.count("*").alias("n"), *p, F.avg(ms).alias("mean"), F.max(ms).alias("max"))
+    """Exact percentiles, interpolated, and count, mean and maximum, in one row; missing values count in ``n`` only.
+
+    Values are counted first, and ranks run over ranges of them, so no task holds all values.
+    """
+    counts = df.groupBy(F.col(ms).alias("v")).agg(F.count("*").alias("c")).withColumn("k", F.when(F.col("v").isNotNull(), F.col("c")).otherwise(0))
+    rows = ranges.carried(ranges.ranged(counts, "v"), F.sum("k"), F.sum)
+    upto = F.sum("k").over(Window.partitionBy("_part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("_carried", F.lit(0))
+    rows = rows.withColumn("upto", upto).withColumn("last", counts.agg((F.sum("k") - 1).alias("last")).scalar())
+    pick = lambda at: F.min(F.when(F.col("upto") > at, F.col("v")))
+
+    def percentile(q: float) -> Column:
+        at = F.col("last") * q
+        low, high = pick(F.floor(at)), pick(F.ceil(at))
+        return (low + (high - low) * F.max(at - F.floor(at))).alias(f"p{round(q * 100)}")
+
+    mean = F.try_divide(F.sum(F.col("v") * F.col("c")), F.sum("k")).alias("mean")
+    return rows.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), *[percentile(q) for q in (0.5, 0.9, 0.95, 0.99)], mean, F.max("v").alias("max"))
 
 
 def detection_rate(df: DataFrame, found: str = "found", ms: str = "ms") -> DataFrame:

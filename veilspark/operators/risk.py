@@ -21,6 +21,9 @@ FINDINGS = [
     (("SALARY", "INCOME", "PRICE"), "GDPR (Financial)", "Art. 6", "MEDIUM"),
     (("PHONE", "TEL"), "GDPR", "Art. 4(1)", "LOW"),
 ]
+# Columns of the two usual reports, quasi-identifiers and sensitive ones.
+PILOT = (("region", "dept"), ("name", "iban", "email"))
+STAFF = (("region", "dept", "age_group"), ("name", "email", "iban", "salary"))
 OTHER_FINDING = ("General Privacy", "Best Practice", "LOW")
 
 

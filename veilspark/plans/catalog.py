@@ -88,9 +88,9 @@ def resolve_documents(spark, d):
     return found.select("doc_id", F.inline("spans")).select("doc_id", "entity", "value", F.col("start").alias("span_start"), F.col("end").alias("span_end"))
 
 
-@query(O.resolved(f"(SELECT * FROM {FIXTURE} WHERE text NOT LIKE '[EMAIL%')", "id", "text") + " SELECT id, entity, value, s AS span_start, e AS span_end FROM walk WHERE kept")
+@query(O.resolved(FIXTURE, "id", "text") + " SELECT id, entity, value, s AS span_start, e AS span_end FROM walk WHERE kept")
 def resolve_fixtures(spark, d):
-    return detect.winners(_fixture(spark)).where("text NOT LIKE '[EMAIL%'").select("id", F.inline("spans")).select("id", "entity", "value", F.col("start").alias("span_start"), F.col("end").alias("span_end"))
+    return detect.winners(_fixture(spark)).select("id", F.inline("spans")).select("id", "entity", "value", F.col("start").alias("span_start"), F.col("end").alias("span_end"))
 
 
 @query(f"SELECT doc_id, {O.splice_sql('text', EMAIL, 'EMAIL', KEYS.digest)} AS redacted, len(regexp_extract_all(text, {O.q(EMAIL)})) AS n_hits FROM documents")
@@ -131,6 +131,22 @@ def scan_names(spark, d):
     return _fixture(spark).select("id", F.inline(found)).select("id", "value", F.col("start").alias("span_start"), F.col("rule").alias("pattern"))
 
 
+@query("SELECT doc_id, rtrim(value, '., ') AS value, s AS span_start, rule AS parser FROM (" + " UNION ALL ".join(O.spans("documents", "doc_id", "text", p, 1, "ADDRESS", i) for i, p in enumerate(detect.ADDRESSES)) + ")")
+def scan_addresses_documents(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.inline(detect.addresses(F.col("text")))).select("doc_id", "value", F.col("start").alias("span_start"), F.col("rule").alias("parser"))
+
+
+@query("SELECT doc_id, value, s AS span_start, rule AS pattern FROM (" + " UNION ALL ".join(O.spans("documents", "doc_id", "text", p, 1, "PERSON", i) for i, p in enumerate(detect.NAMES)) + ")")
+def scan_names_documents(spark, d):
+    found = F.concat(*[spans.find(F.col("text"), p, 1, "PERSON", i) for i, p in enumerate(detect.NAMES)])
+    return _t(spark, d, "documents").select("doc_id", F.inline(found)).select("doc_id", "value", F.col("start").alias("span_start"), F.col("rule").alias("pattern"))
+
+
+@query()
+def prescrub_documents(spark, d):
+    return detect.prescrub(_t(spark, d, "documents").select("doc_id", "text"), KEYS).select("doc_id", "scrubbed")
+
+
 @query()
 def redact_fixtures(spark, d):
     """All tiers, a stand-in for a model included."""
@@ -196,6 +212,23 @@ def compliance_mapping(spark, d):
     return found.groupBy(report.regulation(F.col("entity")).alias("regulation"), "canonical_type").agg(F.count("*").alias("n"))
 
 
+@query(f"SELECT regulation, canonical_type, count(*) AS n FROM (SELECT {_REG_SQL} AS regulation, {_ALIAS_SQL} AS canonical_type FROM ({O.rule_spans('documents', 'doc_id', 'text')})) GROUP BY ALL")
+def compliance_documents(spark, d):
+    found = report.hits(detect.scan(_t(spark, d, "documents").select("doc_id", "text")))
+    return found.groupBy(report.regulation(F.col("entity")).alias("regulation"), "canonical_type").agg(F.count("*").alias("n"))
+
+
+_ANSWER = """CASE event_id % 4 WHEN 0 THEN 'no entities' WHEN 1 THEN '[]' ELSE 'Found: [{"entity_type":"NAME","value":" user ' || user_id || ' "},{"entity_type":"CODE","value":"' || user_id % 20 || '"},{"entity_type":"NAME","value":"' || event_type || '"}] done' END"""
+
+
+@query(f"SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN '' ELSE 'NAME=user ' || user_id || ',' || event_type END AS found FROM events")
+def model_answers(spark, d):
+    """Answers of a chat model: text around the array, values too short, nothing found, no array at all."""
+    labels = detect.answered(F.expr(_ANSWER))
+    each = F.transform(F.map_entries(labels), lambda e: F.concat_ws("=", e["key"], F.array_join(e["value"], ",")))
+    return _t(spark, d, "events").select("event_id", F.coalesce(F.array_join(each, ";"), F.lit("none")).alias("found"))
+
+
 # ---------------------------------------------------------------- checksums, section 2.7
 
 _SHAPES = {
@@ -489,6 +522,24 @@ def audit_segments(spark, d):
     return audit.segments(log, 500, "user_id").select(F.col("seq").alias("event_id"), "segment")
 
 
+@query(f"""SELECT o.o_orderkey AS ord, CASE WHEN c.c_nationkey < 10 OR o.o_orderkey <> min(o.o_orderkey) OVER (PARTITION BY o.o_custkey) THEN 'matched' ELSE 'vaulted' END AS action,
+{_TOKEN} AS result, 'GENERAL_PII' AS compliance_mapping FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey""")
+def audit_events(spark, d):
+    """What is logged when every order names its customer and some customers are stored already."""
+    o = _t(spark, d, "orders").join(_t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    hits = o.select(F.col("o_orderkey").alias("ord"), F.lit("PERSON").alias("entity"), hmac_sha256(F.col("c_name"), KEYS.digest).alias("pii_hash"), token(F.lit("PERSON"), F.col("c_name"), KEYS).alias("token"))
+    return audit.events(_vault(spark, d, 10), hits)
+
+
+@query("""SELECT (SELECT count(*) FROM customer WHERE c_nationkey < 10) AS vault_entries, """ + str(len(X.POLICIES)) + """ AS policies_active,
+(SELECT string_agg(event_id::VARCHAR, ',' ORDER BY ts, event_id) FROM (SELECT ts, event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 10)) AS last""")
+def evidence_snapshot(spark, d):
+    rules = spark.createDataFrame(X.POLICIES, "ord int, name string, entities array<string>, min_confidence double, action string")
+    log = _t(spark, d, "events").select(F.struct("ts", "event_id").alias("timestamp"), F.col("event_type").alias("action"))
+    one = report.evidence(_vault(spark, d, 10), rules, log, {"dictionary": True, "rules": True, "model": False}, "1")
+    return one.select("vault_entries", "policies_active", F.array_join(F.transform("audit_log_tail", lambda e: e["timestamp"]["event_id"].cast("string")), ",").alias("last"))
+
+
 @query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00'")
 def audit_expire(spark, d):
     log = _t(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"))
@@ -545,6 +596,12 @@ def overlap_eval(spark, d):
     return report.confusion(*_marks(spark, d), "doc")
 
 
+@query(f"SELECT entity, tp, fn, fp FROM {_CONFUSION}".replace("p.doc = t.doc AND p.entity = t.entity AND t.s < p.e AND p.s < t.e) AS hit FROM " + _PRED, "p.doc = t.doc AND t.s < p.e AND p.s < t.e) AS hit FROM " + _PRED))
+def overlap_lenient(spark, d):
+    """False are only predictions that overlap no true span of any type."""
+    return report.lenient_confusion(*_marks(spark, d), "doc")
+
+
 @query(f"SELECT entity, round(tp::DOUBLE / (tp + fp), 6) AS precision, round(tp::DOUBLE / (tp + fn), 6) AS recall, round(2 * (tp::DOUBLE / (tp + fp)) * (tp::DOUBLE / (tp + fn)) / (tp::DOUBLE / (tp + fp) + tp::DOUBLE / (tp + fn)), 6) AS f1 FROM {_CONFUSION}")
 def precision_recall_f1(spark, d):
     return report.accuracy(report.confusion(*_marks(spark, d), "doc")).select("entity", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
@@ -603,6 +660,14 @@ def signed_webhooks(spark, d):
     return _t(spark, d, "events").select("event_id", report.signed(F.col("props"), at, sig, b"signing key", F.lit(1704067200), 86400).alias("accepted"))
 
 
+_BODY = """CASE event_id % 5 WHEN 0 THEN '{"type":"url_verification","challenge":"c"}' WHEN 1 THEN 'broken' ELSE '{"type":"event_callback","event":{"type":"' || CASE event_type WHEN 'error' THEN 'reaction' ELSE 'message' END || '","text":"' || CASE WHEN user_id % 7 = 0 THEN '' ELSE 'hello ' || event_id END || '","user":"U' || user_id || '","channel":"C1","ts":"' || event_id || '"' || CASE WHEN event_id % 5 = 2 THEN ',"bot_id":"B1"' ELSE '' END || '}}' END"""
+
+
+@query("SELECT event_id, 'U' || user_id AS user, 'hello ' || event_id AS text FROM events WHERE event_id % 5 IN (3, 4) AND event_type <> 'error' AND user_id % 7 <> 0")
+def webhook_messages(spark, d):
+    return report.messages(_t(spark, d, "events").select("event_id", F.expr(_BODY).alias("body"))).select("event_id", "user", "text")
+
+
 # --------------------------------------------- decoding, sources and streams, 2.1 to 2.3, 2.18
 
 
@@ -631,6 +696,14 @@ def redact_nested(spark, d):
     return nested.redact(df, "body", inner).select("event_id", "redacted")
 
 
+@query("""SELECT event_id, '{"z":' || event_id || '.50,"b":"user ***","a":[1e3,"***"],"b":"' || event_type || '"}' AS redacted FROM events""")
+def redact_spelt(spark, d):
+    """Keys stay in order and repeated, numbers as they are written."""
+    body = F.expr("""'{ "z": ' || event_id || '.50, "b" : "user secret", "a":[1e3, "secret"], "b":"' || event_type || '"}'""")
+    inner = lambda x: x.withColumn("redacted", F.regexp_replace("text", "secret", "***"))
+    return nested.redact(_t(spark, d, "events").select("event_id", body.alias("body")), "body", inner, spelt=True).select("event_id", "redacted")
+
+
 @query("SELECT path, text FROM " + O.values([("a.txt", "plain é"), ("b.pdf", "Hello (World) AB")], "path, text"))
 def extract_files(spark, d):
     rows = [("a.txt", "plain é".encode()), ("b.pdf", b"%PDF (Hello \\(World\\)) Tj <4142> << /X >>".replace(b"\\(", b"(").replace(b"\\)", b")"))]

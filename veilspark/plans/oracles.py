@@ -6,6 +6,7 @@ import re
 
 from ..functions import checksums as C
 from ..functions.rules import HEAVY, RULES, Rule
+from ..functions.spans import TOKEN
 
 
 def q(s: str) -> str:
@@ -177,11 +178,12 @@ def rule_spans(source: str, key: str, text: str, rules: list[Rule] = RULES) -> s
 
 
 def resolved(source: str, key: str, text: str, rules: list[Rule] = RULES) -> str:
-    """Greedy choice by a recursive walk over the spans in order; card numbers must pass the stricter test."""
+    """Greedy choice by a recursive walk over the spans in order; card numbers must pass the stricter test, tokens in the text are guarded."""
     heavy = ", ".join(map(q, HEAVY))
     strict = luhn("value", 13)
     return f"""WITH RECURSIVE found AS ({rule_spans(source, key, text, rules)}),
-    guarded AS (SELECT * FROM found WHERE (entity <> 'CREDIT_CARD' OR {strict})),
+    marks AS ({spans(source, key, text, TOKEN)}),
+    guarded AS (SELECT * FROM found f WHERE (entity <> 'CREDIT_CARD' OR {strict}) AND NOT EXISTS (SELECT 1 FROM marks m WHERE m.{key} = f.{key} AND f.s < m.e AND f.e > m.s)),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY s, -(e - s), CASE WHEN entity IN ({heavy}) THEN 0 ELSE 1 END, rule) AS rn FROM guarded),
     walk AS (
       SELECT {key}, entity, value, s, e, rn, true AS kept, e AS last FROM ranked WHERE rn = 1
