@@ -354,7 +354,7 @@ def rehydrate_documents(spark, d):
 
 
 def _seeds(spark, d) -> DataFrame:
-    return _t(spark, d, "supplier").join(F.broadcast(_t(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select(
+    return _t(spark, d, "supplier").join(_t(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.col("s_suppkey").alias("ord"), F.concat(F.lit(" org"), (F.col("s_nationkey") % 3).cast("string"), F.lit(" ")).alias("entity_type"), F.when(F.col("s_suppkey") % 7 == 0, F.lit(" ")).otherwise(F.upper("n_name")).alias("canonical_name"),
         F.array(F.col("s_name"), F.concat(F.lit("v"), (F.col("s_suppkey") % 4).cast("string"))).alias("variants"),
     )
