@@ -90,3 +90,25 @@ def test_cases(spark):
     assert rows == [(-1, 300, 300, 1), (-1, 300, 300, 1), (3, 0, 0, 0), (3, 250, 250, 1), (3, 250, 250, 1)]
     assert S.report(df.limit(0)).collect() == []
     assert {r.text for r in S.deduplicated(df).collect()} == {""}
+
+
+def test_keys_take_what_equal_windows_share():
+    rng = random.Random(5)
+    text = lambda n: bytes(rng.choices(b"abcdefgh", k=n))
+    stock, passage = [text(60) for _ in range(5)], text(500)
+    raw = [text(300) + s + text(300) for s in stock for _ in range(20)]
+    key = S.segments(raw)[4]
+    assert len(set(key.tolist())) == len(key)  # texts that share 60 bytes have no equal windows
+    raw = [text(rng.randrange(90)) + passage[a : a + 320] + text(rng.randrange(90)) for a in range(0, 180, 9)]
+    for length, gram in ((200, 40), (41, 8), (8, 8), (9, 8)):
+        of = {}
+        for t, low, run, off, key, _ in zip(*(x.tolist() for x in S.segments(raw, length, gram)), strict=True):
+            for i in range(run):
+                assert of.setdefault(raw[t][low + i : low + i + length], (key, off - i)) == (key, off - i)
+        assert set(of) == {t[i : i + length] for t in raw for i in range(len(t) - length + 1)}
+
+
+def test_texts_are_dealt_out_twice_at_most(spark):
+    df = spark.createDataFrame(list(enumerate(corpus())), "doc_id long, text string")
+    plan = S.removals(df, hot=3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 3  # packed for the result, families, windows

@@ -2,8 +2,9 @@
 
 1. *Anchors.* In every 200-byte window the k-gram of least hash (the leftmost
    of equals) is the window's anchor; consecutive windows with one anchor are a
-   segment. Equal windows have their anchors at the same place, so they lie in
-   segments with the same anchor key.
+   segment, cut in two where the anchor passes the middle of the window. Equal
+   windows have their anchors at the same place, so they share the anchor and the
+   80 bytes before it, or the 81 after it; these are the key of their segments.
 2. *Counts.* Segments are counted by key, then by key and content. A key seen
    once has no repeated window. Where all segments of a key are equal, all
    their windows repeat. Only keys with different segments are left.
@@ -114,12 +115,17 @@ def segments(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tupl
     window, anchor, text = window[inside], anchor[inside], text[inside]
     if not len(window):
         return segments([], length, gram)
-    first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
+    # windows with ``left`` bytes or more before the anchor hold these, the others hold ``right`` bytes after it
+    left = (length - gram) // 2
+    right = length - gram - left + 1
+    early = anchor - window >= left
+    first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]) | (early[1:] != early[:-1])]))
     run = np.diff(np.append(first, len(window)))
-    low, at = window[first], anchor[first]
+    low, at, early = window[first], anchor[first], early[first]
     content = hashes.of(low, low + run - 1 + length)
     content = _mix(content ^ (at - low).astype(np.uint64) * np.uint64(_BASE))
-    return text[first], low - (ends - sizes)[text[first]], run, at - low, h[at], content
+    key = _mix(hashes.of(np.where(early, at - left, at), at + gram + np.where(early, 0, right)) + early)
+    return text[first], low - (ends - sizes)[text[first]], run, at - low, key, content
 
 
 # place of a segment in its text: first window (36 bits), windows (20 bits), anchor minus first window (8 bits)
@@ -320,7 +326,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def _bodies(joined: DataFrame, length: int) -> DataFrame:
-    """The bytes of the wanted segments: (key, n, doc_id, th, place, windows, body)."""
+    """The bytes of the wanted segments: (key, n, kinds, doc_id, th, place, windows, body)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -329,7 +335,7 @@ def _bodies(joined: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                row, key, n, place, windows, body = [], [], [], [], [], []
+                row, key, n, kinds, place, windows, body = [], [], [], [], [], [], []
                 for k, (packed, wanted) in enumerate(zip(part.column("packed").to_pylist(), part.column("wanted").to_pylist(), strict=True)):
                     raw = unpress.decompress(packed)
                     for w in wanted:
@@ -337,14 +343,15 @@ def _bodies(joined: DataFrame, length: int) -> DataFrame:
                         row.append(k)
                         key.append(w["key"])
                         n.append(w["n"])
+                        kinds.append(w["kinds"])
                         place.append(w["place"])
                         windows.append(run_)
                         body.append(raw[low : low + run_ - 1 + length])
                 at = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int32()), part.column("doc_id").take(at), part.column("th").take(at), pa.array(place, pa.int64()), pa.array(windows, pa.int32()), pa.array(body, pa.binary())], names=["key", "n", "doc_id", "th", "place", "windows", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int32()), pa.array(kinds, pa.int64()), part.column("doc_id").take(at), part.column("th").take(at), pa.array(place, pa.int64()), pa.array(windows, pa.int32()), pa.array(body, pa.binary())], names=["key", "n", "kinds", "doc_id", "th", "place", "windows", "body"])
 
     kind = joined.schema["doc_id"].dataType.simpleString()
-    return joined.select("doc_id", "th", "packed", "wanted").mapInArrow(run, f"key long, n int, doc_id {kind}, th long, place long, windows int, body binary")
+    return joined.select("doc_id", "th", "packed", "wanted").mapInArrow(run, f"key long, n int, kinds long, doc_id {kind}, th long, place long, windows int, body binary")
 
 
 def _windows(bodies: DataFrame, length: int) -> DataFrame:
@@ -400,16 +407,15 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     # segments that occur more than once are repeated whole, wherever they are
     whole = repeated.where("n > 0").join(segs.where("n > 1").select("key", "content"), ["key", "content"]).select("doc_id", "th", "place")
     packed = _packed(docs)
-    wanted = segs.where("kinds > 1").groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "n", "place", "kinds")).alias("wanted"))
-
-    def bodies(test) -> DataFrame:
-        own = wanted.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.filter("wanted", test).alias("wanted")).where(F.size("wanted") > 0)
-        return _bodies(packed.join(own, (packed.th == own.t) & packed.doc_id.eqNullSafe(own.d)), length)
-
-    plain = bodies(lambda w: w["kinds"] <= hot).repartition("key").sortWithinPartitions("key")
-    found = known.unionByName(whole).unionByName(_match(plain, length))
-    if not segs.where(F.col("kinds") > hot).isEmpty():
-        each = _windows(bodies(lambda w: w["kinds"] > hot), length)
+    wanted = segs.where("kinds > 1").groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_list(F.struct("key", "n", "place", "kinds")).alias("wanted"))
+    bodies = _bodies(packed.join(wanted, (packed.th == wanted.t) & packed.doc_id.eqNullSafe(wanted.d)), length)
+    found = known.unionByName(whole)
+    if segs.where(F.col("kinds") > hot).isEmpty():
+        found = found.unionByName(_match(bodies.repartition("key").sortWithinPartitions("key"), length))
+    else:  # written, so that the texts are not dealt out again for each use
+        bodies = kept(bodies, folder, "bodies")
+        found = found.unionByName(_match(bodies.where(F.col("kinds") <= hot).repartition("key").sortWithinPartitions("key"), length))
+        each = _windows(bodies.where(F.col("kinds") > hot), length)
         twice = kept(each.groupBy("a", "b").agg(F.sum("n").alias("times")).where("times > 1").select("a", "b"), folder, "windows")
         found = found.unionByName(each.where("n = 1").join(twice, ["a", "b"]).select("doc_id", "th", "place"))
     places = found.groupBy("doc_id", "th").agg(F.collect_set("place").alias("places")).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "places")
