@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -196,3 +197,24 @@ def test_links_join_what_all_pairs_join():
         # equal paragraphs at other places are links as well
         assert all(len({b for a, b in zip(full, trees(got)) if a == c}) == 1 for c in set(full))
         assert {(i, k) for i, k, *_ in got if i == k} == set()
+
+
+def test_runs_of_one_word_are_no_hot_cell():
+    rng = random.Random(6)
+    texts = []
+    for _ in range(4500):
+        words = f"x{rng.randrange(400)}", "the", f"y{rng.randrange(400)}"
+        times = rng.randint(8, 48)
+        texts.append(" ".join(w for w in words for _ in range(times)).encode())
+    text, low, run, off, bucket, node = G.segments(texts)
+    kinds, count = np.unique(bucket, return_counts=True)
+    own = np.flatnonzero(bucket == kinds[count.argmax()])
+    own = own[np.unique(node[own], return_index=True)[1]]
+    assert len(own) > 3000
+    bodies = []
+    for i in own.tolist():
+        data = np.frombuffer(texts[text[i]], np.uint8)
+        bodies.append(G._shingles(G.Hashes(data).of(*G._words(data)))[low[i] : low[i] + run[i] + G.WIDTH - G.SHINGLE])
+    began = time.thread_time()
+    found = G.join_segments(np.zeros(len(own), np.int64), bodies, off[own])
+    assert found and time.thread_time() - began < 8

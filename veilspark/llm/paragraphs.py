@@ -300,15 +300,20 @@ def join_segments(cell: np.ndarray, bodies: list[np.ndarray], off: np.ndarray, w
     code = code.reshape(len(left_over), -1)
     at = dict(zip(left_over.tolist(), code, strict=True))
     mine = np.zeros(code.max() + 1, bool)
-    # the shingles of each tree, and in cells with repeated shingles the trees of each shingle
+    # the shingles of each tree
     held_by: dict[int, set[int]] = {}
-    whole: dict[tuple[int, int], set[int]] = defaultdict(set)
     index: dict[tuple[int, int], list[int]] = defaultdict(list)
     for i in left_over.tolist():
         own = at[i][held[i]]
         # of the shared shingles all but ``need`` - 1 hold one of any like segment
         values, where = np.unique(at[i][mark[i] > 0], return_index=True)
-        prefix = values if twice[i] else values[np.lexsort((values, often[i][mark[i] > 0][where]))][: len(values) - int(need[i]) + 1]
+        if twice[i]:  # of each paragraph's set the rarest, of which a like one holds one
+            rare = np.lexsort((at[i], often[i]))
+            sets = counted[i][left[i] : left[i] + run[i], rare]
+            most = sets.sum(1) - np.ceil(threshold * sets.sum(1) - 1e-9) + 1
+            prefix = np.unique(at[i][rare[(sets & (np.cumsum(sets, 1) <= most[:, None])).any(0) & (mark[i][rare] > 0)]])
+        else:
+            prefix = values[np.lexsort((values, often[i][mark[i] > 0][where]))][: len(values) - int(need[i]) + 1]
         prefix = [(int(number[i]), e) for e in prefix.tolist()]
         near = np.unique(np.array([k for e in prefix for k in index[e]], np.int64))
         mine[own] = True
@@ -317,11 +322,10 @@ def join_segments(cell: np.ndarray, bodies: list[np.ndarray], off: np.ndarray, w
             kinds, which = np.unique(at[i], return_inverse=True)
             has = np.zeros((len(kinds), size))
             np.add.at(has, which, counted[i].T)
-            pairs = np.array([(tree, c) for c, e in enumerate(kinds.tolist()) for tree in whole[int(number[i]), e]], np.int64).reshape(-1, 2)
-            trees, which = np.unique(pairs[:, 0], return_inverse=True)
-            holds = np.zeros((len(trees), len(kinds)))
-            holds[which, pairs[:, 1]] = 1
-            trees = trees[(holds @ has >= threshold * has.sum(0) - 1e-9)[:, left[i] : left[i] + run[i]].any(1)].tolist()
+            every = kinds.tolist()
+            holds = np.array([[e in held_by[tree] for e in every] for tree in trees], float)
+            good = (holds @ has >= threshold * has.sum(0) - 1e-9)[:, left[i] : left[i] + run[i]].any(1)
+            trees = [tree for tree, ok in zip(trees, good.tolist(), strict=True) if ok]
         for tree in trees:
             if label[i] == tree or tree not in held_by:  # this one's tree, or what that was called
                 continue
@@ -347,14 +351,9 @@ def join_segments(cell: np.ndarray, bodies: list[np.ndarray], off: np.ndarray, w
                     label[label == old] = tree
                     moved = held_by.pop(old, set())
                     held_by[tree] |= moved
-                    for e in moved if mixed[i] else ():
-                        whole[int(number[i]), e].discard(old)
-                        whole[int(number[i]), e].add(tree)
                     break
         mine[own] = False
         held_by.setdefault(int(label[i]), set()).update(own.tolist())
-        for e in own.tolist() if mixed[i] else ():
-            whole[int(number[i]), e].add(int(label[i]))
         for e in prefix:
             index[e].append(i)
     return found
