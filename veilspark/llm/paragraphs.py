@@ -319,10 +319,11 @@ def join_segments(cell: np.ndarray, bodies: list[np.ndarray], off: np.ndarray, w
         mine[own] = True
         trees = np.unique(label[near]).tolist()
         if twice[i] and trees:  # all trees at once: there are few different shingles, so many trees hold some
-            kinds, which = np.unique(at[i], return_inverse=True)
-            has = np.zeros((len(kinds), size))
-            np.add.at(has, which, counted[i].T)
-            every = kinds.tolist()
+            order = np.argsort(at[i], kind="stable")
+            kinds = at[i][order]
+            new = np.flatnonzero(np.concatenate([[True], kinds[1:] != kinds[:-1]]))
+            has = np.add.reduceat(counted[i].T[order].astype(float), new)
+            every = kinds[new].tolist()
             holds = np.array([[e in held_by[tree] for e in every] for tree in trees], float)
             good = (holds @ has >= threshold * has.sum(0) - 1e-9)[:, left[i] : left[i] + run[i]].any(1)
             trees = [tree for tree, ok in zip(trees, good.tolist(), strict=True) if ok]
@@ -334,24 +335,25 @@ def join_segments(cell: np.ndarray, bodies: list[np.ndarray], off: np.ndarray, w
                 sums = [0, *accumulate(e in held_by[tree] for e in own.tolist())]
                 if max(b - a for a, b in zip(sums, sums[size:])) < need[i]:
                     continue
-            there = near[label[near] == tree]
-            if not len(there):
-                continue
-            hit = np.zeros((len(there), 2 * size), np.int16)
-            np.cumsum(mine[np.stack([at[k] for k in there.tolist()])] & held[there], 1, out=hit[:, 1:])
-            low, high = np.maximum(left[i], left[there]), np.minimum(left[i] + run[i], left[there] + run[there])
-            enough = (hit[:, size:] - hit[:, :-size] >= need[there, None]) & (place >= low[:, None]) & (place < high[:, None])
-            for t in np.flatnonzero(enough.any(1)).tolist():
-                k = int(there[t])
-                if twice[k] and not (counted[k][low[t] : high[t]] @ mine[at[k]].astype(np.int64) >= threshold * counted[k][low[t] : high[t]].sum(1) - 1e-9).any():
-                    continue
-                if like := _alike(grid[i], grid[k], int(low[t]), int(high[t]), size, threshold, not (twice[i] or twice[k])):
-                    found.append((k, i, like[0] - size + 1, like[1] - size + 1 + width))
-                    old = int(label[i])
-                    label[label == old] = tree
-                    moved = held_by.pop(old, set())
-                    held_by[tree] |= moved
-                    break
+            there, done, step = near[label[near] == tree], 0, 32
+            while done < len(there):  # most often one of the first is alike
+                some = there[done : done + step]
+                done, step = done + step, 4 * step
+                hit = np.zeros((len(some), 2 * size), np.int16)
+                np.cumsum(mine[np.stack([at[k] for k in some.tolist()])] & held[some], 1, out=hit[:, 1:])
+                low, high = np.maximum(left[i], left[some]), np.minimum(left[i] + run[i], left[some] + run[some])
+                enough = (hit[:, size:] - hit[:, :-size] >= need[some, None]) & (place >= low[:, None]) & (place < high[:, None])
+                for t in np.flatnonzero(enough.any(1)).tolist():
+                    k = int(some[t])
+                    if twice[k] and not (counted[k][low[t] : high[t]] @ mine[at[k]].astype(np.int64) >= threshold * counted[k][low[t] : high[t]].sum(1) - 1e-9).any():
+                        continue
+                    if like := _alike(grid[i], grid[k], int(low[t]), int(high[t]), size, threshold, not (twice[i] or twice[k])):
+                        found.append((k, i, like[0] - size + 1, like[1] - size + 1 + width))
+                        old = int(label[i])
+                        label[label == old] = tree
+                        held_by[tree] |= held_by.pop(old, set())
+                        done = len(there)
+                        break
         mine[own] = False
         held_by.setdefault(int(label[i]), set()).update(own.tolist())
         for e in prefix:
